@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import encode_corpus
+from corpusloom.llm.cutoff import cut_texts
 from corpusloom.llm.packing import CAPACITY, fill_containers, token_counts
 from corpusloom.llm.splitting import law_texts, split_oversized
 from corpusloom.sources.tables import table
@@ -39,7 +40,39 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum(CAPACITY - F.col("used")).alias("unused")).withColumn("unused_share", F.round(F.col("unused") / (F.col("containers") * CAPACITY), 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_ids, p7_containers, p7_fill)}
+def _answers_and_citations(spark: SparkSession, d: str) -> DataFrame:
+    """(key, source, text): key is record_type, record_id, both numbers and a hash of the text, joined by a control character."""
+    audit = table(spark, d, "audit_log").select(F.lit("audit").alias("t"), F.col("entry_id").alias("id"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("metadata")["source"].alias("source"), F.col("answer").alias("text"))
+    items = table(spark, d, "qac_items").select("item_id", F.col("metadata")["source"].alias("source"), F.posexplode("gold_answers").alias("i", "g"))
+    cited = items.select("item_id", "source", "i", F.posexplode("g.citations").alias("j", "c")).select(F.lit("citation").alias("t"), F.col("item_id").alias("id"), "i", "j", "source", F.col("c.passage_text").alias("text"))
+    both = audit.unionByName(cited).filter("text <> '' AND id IS NOT NULL")
+    return both.select(F.concat_ws("\x01", "t", "id", "i", "j", F.xxhash64("text")).alias("key"), "source", "text")
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts(_answers_and_citations(spark, d)).filter("cut")
+
+
+def _record(c: Column) -> list[Column]:
+    p = F.split(c, "\x01")
+    return [p[0].alias("record_type"), F.array_join(F.slice(p, 2, F.size(p) - 4), "\x01").alias("record_id"), p[F.size(p) - 3].cast("int").alias("answer_no"), p[F.size(p) - 2].cast("int").alias("citation_no")]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).select(*_record(F.col("key"))).distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Texts, cut texts and their share per kind of record and ``metadata['source']``."""
+    kind = F.substring_index("key", "\x01", 1).alias("record_type")
+    every = _answers_and_citations(spark, d).select("key", "source").distinct().groupBy(kind, "source").agg(F.count(F.lit(1)).alias("n_texts"))
+    cut = _cut(spark, d).select("key", "source").distinct().groupBy(kind.alias("rt"), F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    out = every.join(cut, (every.record_type == cut.rt) & every.source.eqNullSafe(cut.s), "left")
+    n = F.coalesce("n", F.lit(0))
+    return out.select("record_type", "source", "n_texts", n.alias("n_cut"), F.round(n / F.col("n_texts"), 6).alias("cut_share"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_report, p6_ids, p7_containers, p7_fill)}
 
 _P3 = "SELECT 'section' AS record_type, section_id AS record_id, text FROM legal_sections UNION SELECT 'article', article_id, text FROM constitution_articles"
 _FITS = "list_max(list_transform(string_split_regex({t}, '{sep}'), lambda x: length(x))) <= 1500"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.bpe import encode_corpus
 from corpusloom.llm.cutoff import cut_texts
 from corpusloom.llm.packing import CAPACITY, fill_containers, token_counts
+from corpusloom.llm.pairs import broken_pairs
 from corpusloom.llm.splitting import law_texts, split_oversized
 from corpusloom.sources.tables import table
 
@@ -16,6 +17,23 @@ def _law(spark: SparkSession, d: str, article_text: str = "text") -> DataFrame:
     return law_texts(table(spark, d, "legal_sections"), table(spark, d, "constitution_articles"), article_text)
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    sheet = table(spark, d, "annotation_sheet")
+    one = [sheet.select("run_id", "item_id", F.lit(f).alias("answer_field"), "question", F.col(f).alias("answer")) for f in ("rag_answer", "no_rag_answer")]
+    both = one[0].unionByName(one[1])
+    return both.select(F.to_json(F.struct("run_id", "item_id", "answer_field", F.xxhash64("question", "answer").alias("h"))).alias("key"), F.col("answer_field").alias("source"), "question", "answer")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    bad = broken_pairs(_pairs(spark, d)).withColumn("k", F.from_json("key", "run_id string, item_id string, answer_field string"))
+    return bad.select("k.run_id", "k.item_id", "k.answer_field", "defect").distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs per run, field and defect."""
+    return p2_found(spark, d).groupBy("run_id", "answer_field", "defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_law(spark, d))
 
@@ -72,7 +90,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("record_type", "source", "n_texts", n.alias("n_cut"), F.round(n / F.col("n_texts"), 6).alias("cut_share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_report, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_report, p6_ids, p7_containers, p7_fill)}
 
 _P3 = "SELECT 'section' AS record_type, section_id AS record_id, text FROM legal_sections UNION SELECT 'article', article_id, text FROM constitution_articles"
 _FITS = "list_max(list_transform(string_split_regex({t}, '{sep}'), lambda x: length(x))) <= 1500"

@@ -9,6 +9,7 @@ from corpusloom.llm.bpe import encode_corpus
 from corpusloom.llm.cutoff import cut_texts
 from corpusloom.llm.packing import CAPACITY, fill_containers, token_counts
 from corpusloom.llm.pairs import broken_pairs
+from corpusloom.llm.reading import reading_levels
 from corpusloom.llm.splitting import law_texts, split_oversized
 from corpusloom.sources.tables import table
 
@@ -90,7 +91,19 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("record_type", "source", "n_texts", n.alias("n_cut"), F.round(n / F.col("n_texts"), 6).alias("cut_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_report, p6_ids, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words per source and band, with the source's mean expected band."""
+    docs = table(spark, d, "documents")
+    levels = reading_levels(docs, table(spark, d, "reading_labels")).join(docs.select("doc_id", "source"), "doc_id")
+    expected = sum(k * F.col(f"p{k}") for k in range(1, 5))
+    return levels.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg(expected), 4).alias("mean_level"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_report, p6_ids, p7_containers, p7_fill, p8_found, p8_profile)}
 
 _P3 = "SELECT 'section' AS record_type, section_id AS record_id, text FROM legal_sections UNION SELECT 'article', article_id, text FROM constitution_articles"
 _FITS = "list_max(list_transform(string_split_regex({t}, '{sep}'), lambda x: length(x))) <= 1500"

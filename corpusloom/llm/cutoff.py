@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import slices
+from corpusloom.session import materialize
 
 #: Words of context that are looked up.
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 11, 14)
@@ -35,12 +36,13 @@ SUPPORT = 2
 #: Whole texts up to so many tokens are compared as such.
 SHORT = 8
 
-#: What may be put behind a cut.
-_TAIL = "(?:\\.{3}|…|�|\\[(?:\\.{3}|…|cut|more|truncated|continued)\\]|[ \\t\\n\\r ])+$"
+#: What may be put behind a cut, besides white space.
+_MARKS = ("...", "…", "\ufffd", "[...]", "[…]", "[cut]", "[more]", "[truncated]", "[continued]")
 #: A visible end: a final stop, also inside quotes or brackets, or a closed reference in brackets.
-_ENDED = "(?:[.!?।。؟][\"'”’»)\\]]*|\\])$"
+_CLOSED = "(?:[.!?।。؟][\"'”’»)\\]]*|\\])$"
 #: A stop that belongs to an abbreviation or to the first letter of a number.
-_ABBREVIATION = "(?:^|[ \\t\\n(])(?:Rs|No|Nos|Art|Sec|Cap|Vol|p|pp|[A-Z])\\.$"
+_SHORTENED = "(?:^|[ \\t\\n(])(?:Rs|No|Nos|Art|Sec|Cap|Vol|p|pp|[A-Z])\\.$"
+_ENDED, _ABBREVIATION = re.compile(_CLOSED), re.compile(_SHORTENED)
 
 _BRACKETED = re.compile(r"\s*\[[^\[\]]*\]")
 _STOP = re.compile(r"[.!?।。؟][\"'”’»)\]]*$")
@@ -137,13 +139,26 @@ def _slots(c: np.ndarray) -> np.ndarray:
     return (c >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
+def rest_of(text: str) -> tuple[str, bool]:
+    """A text without what may stand behind a cut, and whether it ends visibly."""
+    size = -1
+    while size != len(text):
+        size = len(text)
+        text = text.rstrip(" \t\n\r\xa0")
+        for m in _MARKS:
+            if text.endswith(m):
+                text = text[: -len(m)]
+    tail = text[-40:]
+    return text, _ENDED.search(tail) is not None and _ABBREVIATION.search(tail) is None
+
+
 def _whole(text: str) -> str | None:
     """A short text as a whole, without case and outer marks; numbers count as equal."""
     w = text.split(None, SHORT)
     return " ".join("0" if _DIGIT.search(x) else x.strip(_OUTER).lower() for x in w) if 0 < len(w) <= SHORT and len(text) <= 100 else None
 
 
-_OPEN = "key string, last string, short string, whole string, broken boolean, length int, k int, context bigint"
+_OPEN = "key string, source string, last string, short string, whole string, broken boolean, length int, k int, context bigint"
 _COUNTS = "kind int, word string, context bigint, n_end bigint, n_on bigint"
 
 
@@ -152,10 +167,14 @@ def _signed(c: np.ndarray) -> np.ndarray:
 
 
 def _unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text (without what was put behind the cut): the text's last token and its contexts, one row per length."""
+    """key, source, text, length: the last token and the contexts of the texts that do not end visibly, one row per context."""
     for whole in batches:
         for b in slices(whole):
             keys, texts, size = b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("length").to_pylist()
+            rests = [rest_of(t) for t in texts]
+            open_ = [i for i, (t, ended) in enumerate(rests) if t and not ended]
+            keys, size, sources = [keys[i] for i in open_], [size[i] for i in open_], b.column("source").take(pa.array(open_, pa.int64())).to_pylist()
+            texts = [rests[i][0] for i in open_]
             c, _, at, place, ends, n = _contexts(texts)
             words = _forms().word
             rows = []
@@ -163,14 +182,14 @@ def _unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line = t.rsplit("\n", 1)[-1]
                 broken = line.count("[") > line.count("]") or line.count("(") > line.count(")") or t[-1:] in ",;([{“-" or (t[-1:] == '"' and t[-2:-1] in " (")
                 short = _whole(t)
-                head = (key, words[at[ends[i] - 1]] if n[i] else None, t if short else None, short, broken, size[i])
+                head = (key, sources[i], words[at[ends[i] - 1]] if n[i] else None, t if short else None, short, broken, size[i])
                 p = ends[i] - 1
                 # k of a context that holds all from the start of the sentence is negative
                 rows += [(*head, -k if k >= place[p] + 2 else k, int(c[k][p].view(np.int64))) for shorter, k in zip((0, *LENGTHS), LENGTHS) if place[p] + 2 > shorter] if n[i] else [(*head, 0, 0)]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["key", "last", "short", "whole", "broken", "length", "k", "context"]).astype({"length": "int32", "k": "int32", "context": "int64"}), schema=_OPEN_ARROW, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["key", "source", "last", "short", "whole", "broken", "length", "k", "context"]).astype({"length": "int32", "k": "int32", "context": "int64"}), schema=_OPEN_ARROW, preserve_index=False)
 
 
-_OPEN_ARROW = pa.schema([("key", pa.string()), ("last", pa.string()), ("short", pa.string()), ("whole", pa.string()), ("broken", pa.bool_()), ("length", pa.int32()), ("k", pa.int32()), ("context", pa.int64())])
+_OPEN_ARROW = pa.schema([("key", pa.string()), ("source", pa.string()), ("last", pa.string()), ("short", pa.string()), ("whole", pa.string()), ("broken", pa.bool_()), ("length", pa.int32()), ("k", pa.int32()), ("context", pa.int64())])
 _COUNTS_ARROW = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("context", pa.int64()), ("n_end", pa.int64()), ("n_on", pa.int64())])
 
 
@@ -217,7 +236,8 @@ def _counter(wanted):
 
         for whole in batches:
             for b in slices(whole):
-                texts, done = b.column("text").to_pylist(), np.array(b.column("ended").to_pylist(), bool)
+                rests = [rest_of(t) for t in b.column("text").to_pylist()]
+                texts, done = [t for t, _ in rests], np.array([ended for _, ended in rests], bool)
                 c, event, at, place, ends, n = _contexts(texts)
                 some = n > 0
                 last = ends[some] - 1
@@ -246,24 +266,23 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     evidence, so a text of which nothing similar exists counts as cut only if its last word is unfinished, a bracket
     is left open, or its source's texts pile up at this length. An empty table gives an empty result.
     """
-    spark = texts.sparkSession
-    rest = F.regexp_replace("text", _TAIL, "")
-    t = texts.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("key", "source", F.length("text").alias("length"), rest.alias("text"))
-    t = t.withColumn("ended", F.col("text").rlike(_ENDED) & ~F.col("text").rlike(_ABBREVIATION))
-    open_ = t.filter(~F.col("ended") & (F.col("text") != ""))
-    tails = open_.select("key", "text", "length").mapInArrow(_unfinished, _OPEN)
+    t = texts.filter("text <> ''").select("key", "source", F.length("text").alias("length"), "text")
+    # only what cannot have ended visibly is looked at here; the exact test follows in Python
+    tail = F.right("text", F.lit(40))
+    maybe = ~tail.rlike(_CLOSED) | tail.rlike(_SHORTENED) | tail.rlike("(?:\\.\\.\\.|\\])$")
+    tails = materialize(t.filter(maybe).mapInArrow(_unfinished, _OPEN))
     slot = F.shiftrightunsigned("context", 40).bitwiseAND(F.lit(SLOTS - 1))
     marked = np.zeros(SLOTS, bool)
     # at most SLOTS small integers, however large the corpus
     for part in tails.filter("k <> 0").select(slot.cast("int").alias("slot")).distinct()._collect_as_arrow():
         marked[part.column(0).to_numpy(zero_copy_only=False)] = True
-    wanted = spark.sparkContext.broadcast(np.packbits(marked).tobytes())
-    counts = t.filter("text <> ''").select("text", "ended").mapInArrow(_counter(wanted), _COUNTS)
-    counts = counts.groupBy("kind", "word", "context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
-    return _decide(texts, open_, tails, counts)
+    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(marked).tobytes())
+    counts = t.select("text").mapInArrow(_counter(wanted), _COUNTS)
+    counts = materialize(counts.groupBy("kind", "word", "context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on")))
+    return _decide(tails, counts)
 
 
-def _decide(texts: DataFrame, open_: DataFrame, tails: DataFrame, counts: DataFrame) -> DataFrame:
+def _decide(tails: DataFrame, counts: DataFrame) -> DataFrame:
     words = counts.filter("kind = 0 AND n_end >= %d" % SUPPORT).select("word", "n_end")
     lasts = tails.filter("last IS NOT NULL").select("last").distinct()
     # the nodes of the trie: every proper prefix of every known word
@@ -275,12 +294,12 @@ def _decide(texts: DataFrame, open_: DataFrame, tails: DataFrame, counts: DataFr
     same, alike = own.groupBy("short").agg(F.count(F.lit(1)).alias("n_same")), own.groupBy("whole").agg(F.count(F.lit(1)).alias("n_alike"))
     c = tails.join(seen, "context", "left")
     n = F.col("n_end") + F.col("n_on")
-    c = c.groupBy("key").agg(F.first("last").alias("last"), F.first("short").alias("short"), F.first("whole").alias("whole"), F.first("broken").alias("broken"), F.max(F.when(n >= SUPPORT, F.struct(F.abs("k").alias("k"), "n_end", "n_on"))).alias("best"), F.max(F.when(F.col("k") < 0, F.col("n_on"))).alias("n_longer"))
+    c = c.groupBy("key", "source", "length").agg(F.first("last").alias("last"), F.first("short").alias("short"), F.first("whole").alias("whole"), F.first("broken").alias("broken"), F.max(F.when(n >= SUPPORT, F.struct(F.abs("k").alias("k"), "n_end", "n_on"))).alias("best"), F.max(F.when(F.col("k") < 0, F.col("n_on"))).alias("n_longer"))
     c = c.join(known, "last", "left").join(same, "short", "left").join(alike, "whole", "left")
-    open_ = open_.select("key", "source", "length").distinct()
-    piled = open_.groupBy("source", "length").agg(F.count(F.lit(1)).alias("n_at"))
-    usual = open_.groupBy("source").agg((F.count(F.lit(1)) / F.count_distinct("length")).alias("n_usual"))
-    c = c.join(open_, "key").join(piled, ["source", "length"]).join(usual, "source")
+    open_ = tails.select("key", "source", "length").distinct()
+    piled = open_.groupBy(F.col("source").alias("s"), F.col("length").alias("l")).agg(F.count(F.lit(1)).alias("n_at"))
+    usual = open_.groupBy(F.col("source").alias("u")).agg((F.count(F.lit(1)) / F.count_distinct("length")).alias("n_usual"))
+    c = c.join(piled, [c.source.eqNullSafe(piled.s), c.length == piled.l]).join(usual, F.col("source").eqNullSafe(F.col("u")))
     spike = (F.col("n_at") >= 5) & (F.col("n_at") > 4 * F.col("n_usual"))
     closes = F.col("best.n_end") / (F.col("best.n_end") + F.col("best.n_on"))
     longer = F.coalesce("n_longer", F.lit(0))

@@ -10,6 +10,7 @@ from corpusloom.llm.cutoff import cut_texts
 from corpusloom.llm.packing import CAPACITY, fill_containers, token_counts
 from corpusloom.llm.pairs import broken_pairs
 from corpusloom.llm.reading import reading_levels
+from corpusloom.llm.scans import repair_scans
 from corpusloom.llm.splitting import law_texts, split_oversized
 from corpusloom.sources.tables import table
 
@@ -43,6 +44,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece_no = 0").select("record_type", "record_id", "boundary").distinct()
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    own = F.when(F.col("record_type") == "section", 0).when(F.col("text").rlike("^Article \\S+[ \\t\\r]*\\n"), 2).otherwise(1)
+    return repair_scans(_law(spark, d, "full_text").withColumn("heading", own))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).select("record_type", "record_id", F.explode("noise").alias("noise")).distinct()
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -103,7 +117,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg(expected), 4).alias("mean_level"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_report, p6_ids, p7_containers, p7_fill, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_repaired, p6_ids, p7_containers, p7_fill, p8_found, p8_profile)}
 
 _P3 = "SELECT 'section' AS record_type, section_id AS record_id, text FROM legal_sections UNION SELECT 'article', article_id, text FROM constitution_articles"
 _FITS = "list_max(list_transform(string_split_regex({t}, '{sep}'), lambda x: length(x))) <= 1500"

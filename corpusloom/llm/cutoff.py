@@ -130,7 +130,8 @@ def _contexts(texts: list[str]) -> tuple[dict[int, np.ndarray], np.ndarray, np.n
             out[k] = (total * _MIX) ^ (total >> np.uint64(29))
         power = power * int(_MIX) & (1 << 64) - 1
         shifted = np.zeros_like(full)
-        shifted[k:] = full[: len(full) - k]
+        if k < len(full):
+            shifted[k:] = full[:-k]
         total = total + np.uint64(power) * np.where(place >= k, shifted, np.where(place == k - 1, _START, np.uint64(0)))
     return out, closes, at, place, ends, n
 

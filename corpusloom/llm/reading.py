@@ -154,7 +154,7 @@ class Model:
     def __init__(self, texts: list[str], y: np.ndarray, rounds: int = 80) -> None:
         table = Words()
         at, part, doc, _ = table.read(texts)
-        half = np.arange(len(texts)) % 2
+        half = np.random.default_rng(0).permutation(len(texts)) % 2
         features = np.zeros((len(texts), 2 * BANDS + 1))
         for h in (0, 1):
             learn = half[doc] == h

@@ -400,6 +400,8 @@ def repair_scans(texts: DataFrame) -> DataFrame:
             _KEPT.clear()
             lexicon = _KEPT[id(shared.value)] = Lexicon(*shared.value)
         for b in batches:
+            if not len(b):
+                continue
             got = [repair_text(t, lexicon, int(h)) for t, h in zip(b.text, b.heading)]
             yield pd.DataFrame({"record_type": b.record_type, "record_id": b.record_id, "repaired": [t for t, _ in got], "noise": [sorted(k) for _, k in got]})
 

@@ -24,6 +24,8 @@ _SEPARATORS = (
     ("sentence", re.compile(r"\n|(?<=[.!?;:])[ \t\n\r]+")),
     ("word", re.compile(r"[ \t\n\r]+")),
 )
+#: How far from its target a cut may be moved, as a share of the limit, by kind of boundary.
+REACH = (0.5, 0.4, 0.35, 0.2)
 PIECES = "record_type string, record_id string, boundary string, piece_no int, n_pieces int, start int, stop int, piece string"
 
 
@@ -46,10 +48,14 @@ def _cuts(text: str) -> list[list[int]]:
     return [[m.end() for m in sep.finditer(text)] for _, sep in _SEPARATORS]
 
 
-def _near(cuts: list[list[int]], low: int, high: int, target: int) -> int | None:
-    """Of the strongest kind with an offset in (low, high], the offset nearest to target; the earlier of two as near."""
-    for offsets in cuts:
-        a, b = bisect_right(offsets, low), bisect_right(offsets, high)
+def _near(cuts: list[list[int]], low: int, high: int, target: int, reach: tuple[int, ...] | None = None) -> int | None:
+    """Of the strongest kind with an offset in (low, high], the offset nearest to target; the earlier of two as near.
+
+    ``reach`` bounds the distance from the target, by kind.
+    """
+    for kind, offsets in enumerate(cuts):
+        far = reach[kind] if reach else high
+        a, b = bisect_right(offsets, max(low, target - far - 1)), bisect_right(offsets, min(high, target + far))
         if a < b:
             i = bisect_left(offsets, target, a, b)
             return min((offsets[j] for j in (i - 1, i) if a <= j < b), key=lambda x: (abs(x - target), x))
@@ -67,17 +73,17 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         return [(0, n)]
     cuts, step = _cuts(text), limit - overlap
     least = max(2, -(-(n - overlap) // step))
-    for count in range(least, 2 * least + 2):
+    for count in range(least, 3 * least + 3):
         pieces, start = [], 0
         width = (n + (count - 1) * overlap) / count
-        slack = max(limit // 5, 1)
+        reach = tuple(max(1, round(limit * share)) for share in REACH)
         for k in range(count - 1):
             # the rest is spread evenly over the pieces that are left
             width = (n - start + (count - 1 - k) * overlap) / (count - k)
             target = start + round(width)
-            high = min(start + limit, target + slack, n - 1)
-            low = max(start + overlap, target - slack)
-            stop = _near(cuts, low, high, min(target, high)) if low < high else None
+            high = min(start + limit, n - 1)
+            low = start + overlap + overlap // 2
+            stop = _near(cuts, low, high, min(target, high), reach) if low < high else None
             if stop is None:
                 stop = min(target, start + limit, n - 1)
             pieces.append((start, stop))
@@ -85,7 +91,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
             start = back if back is not None else max(start + 1, stop - overlap)
         if n - start <= limit:
             return [*pieces, (start, n)]
-    raise AssertionError("unreachable: twice the least number of pieces always suffices")
+    raise AssertionError("unreachable: three times the least number of pieces always suffices")
 
 
 def split_oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -101,7 +107,8 @@ def split_oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
             for kind, key, text in zip(b.record_type, b.record_id, b.text):
                 spans, boundary = split_text(text, limit, overlap), boundary_of(text, limit)
                 out += [(kind, key, boundary, k, len(spans), i, j, text[i:j]) for k, (i, j) in enumerate(spans)]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
+            if out:
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
 
     long = texts.select("record_type", "record_id", "text").filter(F.length("text") > limit).distinct()
     return long.mapInPandas(pieces, PIECES)

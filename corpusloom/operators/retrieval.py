@@ -74,7 +74,8 @@ def _search(rows: DataFrame, matrix: Callable[[pd.DataFrame], np.ndarray], queri
                 ids, best = np.full((len(names), k), -1, np.int64), np.full((len(names), k), -np.inf)
                 ids[q, rank], best[q, rank] = i, v
         q, j = np.nonzero(np.isfinite(best))
-        yield pd.DataFrame({"query_id": [names[x] for x in q], "id": ids[q, j], "score": best[q, j]})
+        if len(q):
+            yield pd.DataFrame({"query_id": [names[x] for x in q], "id": ids[q, j], "score": best[q, j]})
 
     return rows.mapInPandas(run, f"query_id {query_type}, id {id_type}, score double")
 

@@ -60,7 +60,8 @@ def segment_acts(acts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(*r, i) for a, t, x in zip(b.act_id, b.title, b.text) for i, r in enumerate(sections_of(a, t, x or ""))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")])
 
     return acts.select("act_id", "title", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SECTIONS)
 
@@ -92,7 +93,8 @@ def segment_articles(texts: DataFrame) -> DataFrame:
                     first, _, rest = t[m.end() : stop].strip().partition("\n")
                     head = f"{first.strip()} {rest.partition(chr(10))[0]}".strip() if len(first.strip()) < 20 and rest else first.strip()
                     rows.append((e, 1, m.start(), m[1], f"Article {m[1]}: {head[:200] + '...' if len(head) > 200 else head}", t[m.start() : stop].strip()))
-            yield pd.DataFrame(rows, columns=["edition", "kind", "start", "number", "title", "full_text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["edition", "kind", "start", "number", "title", "full_text"])
 
     r = texts.filter("text <> ''").select("edition", "text").mapInPandas(run, schema)
     w = W.partitionBy("edition").orderBy("start", "kind")

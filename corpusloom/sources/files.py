@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 PASSAGE = "struct<passage_id:string,text:string,title:string,level:string,parent_id:string,metadata:map<string,string>>"
 DOCUMENT = f"act_info struct<act_name:string,act_number:string,act_year:int>, quality_score double, num_sections int, num_passages int, passages array<{PASSAGE}>"
 QAC_ITEM = "struct<item_id:string,question:string,query_type:string,legal_domain:string,difficulty:string,gold_answers:array<struct<answer_text:string,citations:array<struct<act_name:string,act_number:string,act_year:int,section_number:string,passage_id:string,passage_text:string,start_char:int,end_char:int>>,annotator_id:string,annotation_date:string>>,relevant_passages:array<string>,metadata:map<string,string>>"
-AUDIT = "entry_id string, timestamp string, type string, user_id string, query string, query_type string, answer string, abstained boolean, abstention_reason string, citations array<string>, verification_passed boolean, faithfulness_score double, retrieval_method string, num_passages int, confidence_score double, flagged_for_review boolean, review_reason string, metadata map<string,string>, error string, error_type string, _bad string"
+AUDIT = "entry_id string, timestamp string, type string, user_id string, query string, query_type string, answer string, abstained boolean, abstention_reason string, citations array<string>, verification_passed boolean, faithfulness_score double, retrieval_method string, num_passages int, confidence_score double, flagged_for_review boolean, review_reason string, metadata map<string,string>, error string, error_type string"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +23,7 @@ def write_corpus(passages: DataFrame, path: str) -> None:
     """One JSON line per act with its passages. An act's passages make one line and are collected as such."""
     keys = [F.col(c) for c in ("act_name", "act_number", "act_year")]
     p = F.struct("passage_id", "text", "title", "level", "parent_id", "metadata")
-    passages.groupBy(F.struct(*keys).alias("act_info")).agg(F.count(F.lit(1)).cast("int").alias("num_passages"), F.sort_array(F.collect_list(F.struct("corpus_pos", p.alias("p")))).alias("s")).select("act_info", "num_passages", F.transform("s", lambda x: x["p"]).alias("passages")).write.mode("overwrite").json(path)
+    passages.groupBy(F.struct(*keys).alias("act_info")).agg(F.count(F.lit(1)).cast("int").alias("num_passages"), F.array_sort(F.collect_list(F.struct("corpus_pos", p.alias("p"))), lambda a, b: (a["corpus_pos"] - b["corpus_pos"]).cast("int")).alias("s")).select("act_info", "num_passages", F.transform("s", lambda x: x["p"]).alias("passages")).write.mode("overwrite").json(path)
 
 
 def read_corpus(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
@@ -62,9 +62,8 @@ def read_panel(spark: SparkSession, path: str, raters: int = 5, first: int = 11,
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit entries of JSON lines without malformed lines, with ``ts`` as a timestamp."""
-    raw = spark.read.schema(AUDIT).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.filter(F.col("_bad").isNull()).drop("_bad").withColumn("ts", F.try_to_timestamp("timestamp"))
+    """Audit entries of JSON lines, with ``ts`` as a timestamp; malformed lines, which have no entry_id, are left out."""
+    return spark.read.schema(AUDIT).json(path).filter("entry_id IS NOT NULL").withColumn("ts", F.try_to_timestamp("timestamp"))
 
 
 def write_index(postings: DataFrame, path: str, buckets: int = 64) -> None:

@@ -9,9 +9,8 @@ from corpusloom.sources.files import AUDIT
 
 
 def audit_stream(spark, path: str) -> DataFrame:
-    """Audit entries appended to a folder as JSON lines; malformed lines are dropped."""
-    raw = spark.readStream.schema(AUDIT).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return raw.filter(F.col("_bad").isNull()).drop("_bad").withColumn("ts", F.try_to_timestamp("timestamp"))
+    """Audit entries appended to a folder as JSON lines; malformed lines, which have no entry_id, are left out."""
+    return spark.readStream.schema(AUDIT).json(path).filter("entry_id IS NOT NULL").withColumn("ts", F.try_to_timestamp("timestamp"))
 
 
 def rate_limited(requests: DataFrame, user: str = "user_id", ts: str = "ts", limit: int = 60, late: str = "5 minutes") -> DataFrame:

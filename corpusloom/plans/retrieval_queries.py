@@ -90,8 +90,8 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
     return h.filter(act_passes(F.col("wanted"), F.col("act_name"))).select("query_id", "corpus_pos", "passage_id", "score")
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(R.boosted(_queries(spark, d), _passages(spark, d), _lexical(spark, d, 100)), _dense(spark, d))
+def _fused(spark: SparkSession, d: str, lexical: DataFrame | None = None) -> DataFrame:
+    return R.fuse(R.boosted(_queries(spark, d), _passages(spark, d), lexical or _lexical(spark, d, 100)), _dense(spark, d))
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:

@@ -142,6 +142,45 @@ def claim_support(claims: DataFrame, hits: DataFrame, nli: str | None = None, nl
     return best.withColumn("supported", (F.coalesce("nli", F.lit(0.0)) >= nli_least) | (F.col("overlap") >= overlap_least))
 
 
+# What denies that something is said.
+DENIALS = ["does\\s+not\\s+(?:explicitly\\s+)?(?:declare|state|say|provide|define|establish)", "not\\s+(?:explicitly\\s+)?(?:declared|stated|said|provided|defined|established)", "no\\s+(?:explicit\\s+)?(?:declaration|statement|definition)"]
+
+
+def denied_part(claim: Column) -> Column:
+    """What a claim denies: the words behind the first denial that has any; '' for a denial of nothing named; null for other claims."""
+    low = F.lower(claim)
+    rests = [F.when(low.rlike(p), F.trim(F.regexp_extract(low, f"(?s){p}(.*)$", 1))) for p in DENIALS]
+    rest = F.coalesce(*[F.nullif(r, F.lit("")) for r in rests], *rests)
+    return F.regexp_replace(rest, "^(?:as|that|which)\\s+", "")
+
+
+def verified_claims(claims: DataFrame, hits: DataFrame, overlap_least: float = 0.4) -> DataFrame:
+    """(query_id, no, claim, method, overlap, supported). A denial holds if no hit contains what it denies ('denial'), or, if it
+    names nothing, at an overlap of 0.3 ('denial_overlap'); all other claims at ``overlap_least`` ('overlap'). Without hits nothing holds ('none')."""
+    h = hits.select("query_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"), F.lit(True).alias("hit"))
+    j = claims.withColumn("denied", denied_part(F.col("claim"))).join(h, "query_id", "left")
+    says = (F.col("denied") != "") & F.col("t").contains(F.col("denied"))
+    g = j.groupBy("query_id", "no", "claim", "denied").agg(F.count("hit").alias("n"), F.max(containment(F.col("claim"), F.coalesce("t", F.lit("")))).alias("overlap"), F.bool_or(F.coalesce(says, F.lit(False))).alias("said"))
+    method = F.when(F.col("n") == 0, "none").when(F.col("denied").isNull(), "overlap").when(F.col("denied") == "", "denial_overlap").otherwise("denial")
+    held = F.when(method == "none", False).when(method == "denial", ~F.col("said")).when(method == "denial_overlap", F.col("overlap") >= 0.3).otherwise(F.col("overlap") >= overlap_least)
+    return g.select("query_id", "no", "claim", method.alias("method"), "overlap", held.alias("supported"))
+
+
+def document_facts(claims: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, no, passage_id): claims that place an article in a document ('Article 9 is in the Evidence Act'), with the first
+    hit of that document and article. A hit without an article number fits every article, one without an act every document."""
+    num = "(\\d+[a-z]?(?:\\([0-9]+\\))?(?:\\([a-z]\\))?)"
+    inside, holds = f"article\\s+{num}\\s+is\\s+(?:in|contained\\s+in)\\s+([^,.]+)", f"([^,.]+)\\s+contains\\s+article\\s+{num}"
+    low = F.lower("claim")
+    c = claims.withColumn("art", F.when(low.rlike(inside), F.regexp_extract(low, inside, 1)).otherwise(F.regexp_extract(low, holds, 2))).withColumn("doc", F.trim(F.when(low.rlike(inside), F.regexp_extract(low, inside, 2)).otherwise(F.regexp_extract(low, holds, 1)))).filter("art <> '' AND doc <> ''")
+    bare = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[()]", "")
+    h = hits.select("query_id", "rank", "passage_id", bare(F.col("metadata.article_number")).alias("has"), F.lower(F.coalesce("act_name", F.lit(""))).alias("act"))
+    j = c.join(h, "query_id")
+    number = F.col("has").contains(bare(F.col("art"))) | bare(F.col("art")).contains(F.col("has"))
+    same = F.when(F.col("doc").contains("constitution"), (F.col("act") == "") | F.col("act").contains("constitution")).otherwise(F.col("act").contains(F.col("doc")) | F.col("doc").contains(F.col("act")))
+    return j.filter(number & same).groupBy("query_id", "no").agg(F.min_by("passage_id", "rank").alias("passage_id"))
+
+
 def citation_validity(cited: DataFrame, hits: DataFrame, strict: bool = False) -> DataFrame:
     """Per citation (query_id, no, act_name, section): whether a hit of that act exists and the hit that fits best.
 

@@ -34,11 +34,11 @@ def document_stats(passages: DataFrame, pos: str = "corpus_pos", text: str = "te
 
 def term_stats(passages: DataFrame, pos: str = "corpus_pos", text: str = "text", epsilon: float = 0.25) -> DataFrame:
     """(term, df, idf): idf = ln((n - df + 0.5) / (df + 0.5)); negative ones become ``epsilon`` times the mean of all."""
-    n = passages.select(F.count(F.lit(1)).alias("n"))
+    n = passages.count()
     df = passages.select(pos, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # n is one row
-    mean = raw.select(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    raw = df.withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

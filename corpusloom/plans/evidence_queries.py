@@ -73,6 +73,12 @@ def faithfulness(spark: SparkSession, d: str) -> DataFrame:
     return s.select("query_id", "n_claims", "n_supported", F.round(share, 6).alias("faithfulness"), (share >= 0.8).alias("is_faithful"))
 
 
+def claim_verification(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of the gold answers against the evidence of their questions, denials included."""
+    g = table(spark, d, "qac_items").select(F.col("item_id").alias("query_id"), F.posexplode("gold_answers").alias("a", "g")).select("query_id", "a", F.posexplode(claims(F.col("g.answer_text"))).alias("k", "claim")).select("query_id", (F.col("a") * 1000 + F.col("k")).alias("no"), "claim").distinct()
+    return E.verified_claims(g, _hits(spark, d)).select("query_id", "no", "method", F.round("overlap", 6).alias("overlap"), "supported").distinct()
+
+
 def citation_validity(spark: SparkSession, d: str) -> DataFrame:
     """Per answered item with citations: valid ones among the evidence, in the lenient and in the strict way."""
     c = _answers(spark, d).select("query_id", F.posexplode(citations(F.col("answer"))).alias("no", "c")).select("query_id", "no", "c.act_name", "c.section")
@@ -92,7 +98,7 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return N.mentions(s, "section_id").groupBy("section_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (confidence_filter, primary_evidence, evidence_by_act, conflict_pairs, sufficiency, legal_rules, rule_matches, rule_conflicts, faithfulness, citation_validity, section_metadata, mentions)}
+QUERIES = {f.__name__: f for f in (confidence_filter, primary_evidence, evidence_by_act, conflict_pairs, sufficiency, legal_rules, rule_matches, rule_conflicts, faithfulness, claim_verification, citation_validity, section_metadata, mentions)}
 
 _HB = _BASE + """,
 hp AS (SELECT h.query_id, h.corpus_pos, h.score, h.rank, p.passage_id, p.text, p.act_name, p.metadata FROM hits h JOIN pas p USING (corpus_pos)),
@@ -159,6 +165,13 @@ SQL = {
     "faithfulness": _HB + _ANS + f""", cl AS (SELECT query_id, unnest(range(len(c))) AS no, unnest(c) AS claim FROM (SELECT query_id, list_filter(list_transform(string_split_regex(regexp_replace(answer, '\\[.*?\\]', '', 'g'), '[.!?]+'), lambda s: regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')), lambda s: length(s) > 10 AND NOT regexp_matches(lower(s), '{'|'.join(DISCLAIMERS)}')) AS c FROM ans)),
       su AS (SELECT query_id, no, max({_CON}) >= 0.4 AS supported FROM cl LEFT JOIN hp USING (query_id) GROUP BY 1, 2)
       SELECT query_id, count(*) AS n_claims, count(*) FILTER (supported) AS n_supported, round(count(*) FILTER (supported) / count(*), 6) AS faithfulness, count(*) FILTER (supported) / count(*) >= 0.8 AS is_faithful FROM su GROUP BY 1""",
+    "claim_verification": _HB + f""", c0 AS (SELECT item_id AS query_id, gold_answers AS g FROM qac_items), c1 AS (SELECT query_id, unnest(range(len(g))) AS a, unnest(g) AS g FROM c0),
+      c2 AS (SELECT query_id, a, list_filter(list_transform(string_split_regex(regexp_replace(g.answer_text, '\\[.*?\\]', '', 'g'), '[.!?]+'), lambda s: regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')), lambda s: length(s) > 10 AND NOT regexp_matches(lower(s), '{'|'.join(DISCLAIMERS)}')) AS c FROM c1),
+      c3 AS (SELECT DISTINCT query_id, (a * 1000 + k)::INT AS no, claim FROM (SELECT query_id, a, unnest(range(len(c))) AS k, unnest(c) AS claim FROM c2)),
+      c4 AS (SELECT *, regexp_replace(coalesce({', '.join(f"nullif(CASE WHEN regexp_matches(lower(claim), '{p}') THEN trim(regexp_extract(lower(claim), '(?s){p}(.*)$', 1)) END, '')" for p in E.DENIALS)}, {', '.join(f"CASE WHEN regexp_matches(lower(claim), '{p}') THEN '' END" for p in E.DENIALS)}), '^(?:as|that|which)\\s+', '') AS denied FROM c3),
+      c5 AS (SELECT query_id, no, claim, denied, count(h.corpus_pos) AS n, max({_CON}) AS overlap, bool_or(coalesce(denied <> '' AND contains(lower(coalesce(text, '')), denied), false)) AS said FROM c4 LEFT JOIN hp h USING (query_id) GROUP BY 1, 2, 3, 4)
+      SELECT DISTINCT query_id, no, CASE WHEN n = 0 THEN 'none' WHEN denied IS NULL THEN 'overlap' WHEN denied = '' THEN 'denial_overlap' ELSE 'denial' END AS method, round(overlap, 6) AS overlap,
+        CASE WHEN n = 0 THEN false WHEN denied IS NULL THEN overlap >= 0.4 WHEN denied = '' THEN overlap >= 0.3 ELSE NOT said END AS supported FROM c5""",
     "citation_validity": _HB + _ANS + f""", ci AS (SELECT query_id, no, trim(a) AS act_name, trim(s) AS section FROM (SELECT query_id, unnest(range(len(regexp_extract_all(answer, '{_CITE}', 1, 'i')))) AS no, unnest(regexp_extract_all(answer, '{_CITE}', 1, 'i')) AS a, unnest(regexp_extract_all(answer, '{_CITE}', 2, 'i')) AS s FROM ans)),
       cv AS (SELECT c.query_id, c.no, coalesce(bool_or({_ACT}), false) AS v, coalesce(bool_or({_ACT} AND {_SAYS}), false) AS st FROM ci c LEFT JOIN hp h USING (query_id) GROUP BY 1, 2)
       SELECT query_id, count(*) AS n_citations, count(*) FILTER (v) AS n_valid, count(*) FILTER (st) AS n_strict FROM cv GROUP BY 1""",

@@ -106,3 +106,12 @@ def test_evidence(spark):
     cited = spark.createDataFrame([("q", 0, "Boats Act", "2"), ("q", 1, "Boats Act", "77"), ("q", 2, "Other", "1")], "query_id string, no int, act_name string, section string")
     assert {(r.no, r.is_valid) for r in E.citation_validity(cited, h).collect()} == {(0, True), (1, True), (2, False)}
     assert {(r.no, r.is_valid) for r in E.citation_validity(cited, h, strict=True).collect()} == {(0, True), (1, False), (2, False)}
+
+
+def test_denials_and_document_facts(spark):
+    h = passages(spark).withColumn("query_id", F.lit("q")).withColumn("rank", (F.col("corpus_pos") + 1).cast("int"))
+    rows = [("q", 0, "The Act does not state that theft of a boat"), ("q", 1, "The Act does not provide for whales"), ("q", 2, "There is no definition"), ("q", 3, "theft of a boat"), ("z", 4, "anything at all")]
+    got = {r.no: (r.method, r.supported) for r in E.verified_claims(spark.createDataFrame(rows, "query_id string, no int, claim string"), h).collect()}
+    assert got == {0: ("denial", False), 1: ("denial", True), 2: ("denial_overlap", False), 3: ("overlap", True), 4: ("none", False)}
+    facts = spark.createDataFrame([("q", 0, "Article 9 is in the Constitution"), ("q", 1, "Article 8 is in the Tax Code"), ("q", 2, "plain")], "query_id string, no int, claim string")
+    assert sorted((r.no, r.passage_id) for r in E.document_facts(facts, h).collect()) == [(0, "ACT__1978_SEC_9"), (1, "OLD_1")]

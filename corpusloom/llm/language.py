@@ -25,7 +25,6 @@ _SCRIPTS = (
     ("other", re.compile("[Ͱ-ϿЀ-ԯ԰-׿؀-ۿऀ-୿ఀ-ൿ฀-࿿ᄀ-ᇿ぀-ヿ㐀-鿿가-힯]")),
 )
 _LATIN = re.compile("[A-Za-zÀ-ɏ]+(?:['’][A-Za-zÀ-ɏ]+)?")
-_LETTER = re.compile("[^\\W\\d_]")
 
 
 def language_scores(text: str) -> dict[str, float]:

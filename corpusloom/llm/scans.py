@@ -72,6 +72,8 @@ _WITHIN = re.compile(
     rf"|P[a@]ge {_N} of {_N}|P[a@]ge {_N}|\( {_N} \)|- {_N} -|~ {_N} ~|\[p\. ?{_N}\]) (?=\S)"
 )
 _ITEM = re.compile(r"^\s*\d+[.)]? +\S")
+#: What page furniture in mixed letters has: a number at either end, brackets, stars, waves, a dash.
+_MARKED = re.compile(rf"[—–*\[~]|CAP|^\( |^- |^P[a@]ge|^{_N}(?: |$)|(?: {_N}| A| \)| -)$|^{_ROMAN}(?: |$)| {_ROMAN}$")
 _PARAGRAPH = re.compile(r"^\s*\(\d+[A-Z]?\)\s")
 
 
@@ -85,8 +87,16 @@ def line_key(line: str) -> str:
 
 def titled(line: str) -> bool:
     """Most words begin with a capital letter and no sentence ends here."""
+    if line.rstrip().endswith((".", ";", ":", ",")):
+        return False
     words = [w for w in line.split() if w[:1].isalpha()]
-    return len(words) >= 2 and not line.rstrip().endswith((".", ";", ":", ",")) and sum(w[0].isupper() for w in words) >= 0.7 * len(words)
+    return len(words) >= 2 and sum(w[0].isupper() for w in words) >= 0.7 * len(words)
+
+
+def running(line: str) -> bool:
+    """Less than half of at least two words begin with a capital letter: running text."""
+    words = line.split()
+    return len(words) > 1 and 2 * sum(w[0].isupper() for w in words) < len(words)
 
 
 _COUNTS = "kind int, what string, n bigint"
@@ -94,25 +104,37 @@ _COUNTS = "kind int, what string, n bigint"
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a partition: kind 0 words, 1 pairs of neighbours in a line, 2 short titled lines, 3 totals."""
-    counts = [Counter(), Counter(), Counter(), Counter()]
+    counts: list[Counter] = [Counter(), Counter(), Counter(), Counter()]
+    forms: dict[str, str] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
+        counts[1] = Counter({f"{a} {b}": n for (a, b), n in counts[1].items() if a and b})
+        counts[0].pop("", None)
         for kind, c in enumerate(counts):
             if c:
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["kind", "what", "n"])
-            c.clear()
+            counts[kind] = Counter()
 
     for whole in batches:
         for b in slices(whole):
             for text in b.column("text").to_pylist():
-                for line in text.split("\n"):
-                    words = [core_of(w) for w in line.split()]
-                    known = [w if _WORD.fullmatch(w) else "" for w in words]
-                    counts[0].update(w for w in known if w)
-                    counts[1].update(f"{a} {b}" for a, b in zip(known, known[1:]) if a and b)
-                    counts[3].update({"words": len(words), "lines": 1})
+                lines = text.split("\n")
+                n = 0
+                for line in lines:
+                    raw = line.split()
+                    n += len(raw)
+                    for w in raw:
+                        if w not in forms:
+                            core = core_of(w)
+                            forms[w] = core if _WORD.fullmatch(core) else ""
+                    known = [forms[w] for w in raw]
+                    counts[0].update(known)
+                    counts[1].update(zip(known, known[1:]))
                     if 8 < len(line) < 90 and titled(line):
                         counts[2][line_key(line)] += 1
+                counts[3].update({"words": n, "lines": len(lines)})
+            if len(forms) > 500_000:
+                forms.clear()
             if len(counts[0]) + len(counts[1]) > 1_000_000:
                 yield from flush()
     yield from flush()
@@ -131,6 +153,7 @@ class Lexicon:
             for key in self.keys(w):
                 self.index.setdefault(key, []).append(w)
         self.fixed: dict[str, tuple[str, ...]] = {}
+        self.cores: dict[str, tuple[str, bool]] = {}
 
     @staticmethod
     def keys(word: str) -> set[str]:
@@ -161,6 +184,16 @@ class Lexicon:
                                 j_list.append(j + len(b))
         return rows[len(printed)].get(len(read), far)
 
+    def known_form(self, raw: str) -> tuple[str, bool]:
+        """The core of a token and whether it may be misread; kept for tokens seen before."""
+        got = self.cores.get(raw)
+        if got is None:
+            if len(self.cores) > 300_000:
+                self.cores.clear()
+            core = core_of(raw)
+            got = self.cores[raw] = core, bool(self.candidates(core))
+        return got
+
     def candidates(self, core: str) -> tuple[str, ...]:
         """Words that may have been read as ``core``, cheapest and most frequent first; empty if it is taken as it stands."""
         got = self.fixed.get(core)
@@ -274,7 +307,7 @@ def broken_up(line: str, lexicon: Lexicon) -> list[str]:
 def furniture(line: str, table: bool, lexicon: Lexicon) -> set[str]:
     """The kinds of noise that a whole line is: 'page_number', 'header', both, or none if it belongs to the text."""
     s = line.strip(" \t\r\x0c")
-    if not s:
+    if not s or not _MARKED.search(s) and running(s):
         return set()
     if _PAGE.fullmatch(s):
         return {"page_number"}
@@ -343,17 +376,20 @@ def repair_text(text: str, lexicon: Lexicon, heading: int = 0) -> tuple[str, set
         out.append(line)
         i = j
     words = [w.split() for w in out]
-    flat = [core_of(w) for ws in words for w in ws] + [""]
-    at = 0
+    known = [[lexicon.known_form(w) for w in ws] for ws in words]
     for k, ws in enumerate(words):
-        for p, raw in enumerate(ws):
-            if lexicon.candidates(flat[at]):
-                previous = ws[p - 1] if p else words[k - 1][-1] if k and words[k - 1] else "."
-                fixed = lexicon.repair(raw, flat[at - 1] if at and not previous.endswith(".") else ".", flat[at + 1])
+        if not any(may for _, may in known[k]):
+            continue
+        for p, (raw, (_, may)) in enumerate(zip(list(ws), known[k])):
+            if may:
+                j = p - 1 if p else len(words[k - 1]) - 1
+                row = k if p else k - 1
+                previous = words[row][j] if row >= 0 and j >= 0 else "."
+                nxt = known[k][p + 1][0] if p + 1 < len(ws) else known[k + 1][0][0] if k + 1 < len(words) and words[k + 1] else ""
+                fixed = lexicon.repair(raw, "." if previous.endswith(".") else known[row][j][0], nxt)
                 if fixed is not None and fixed != raw:
                     found.add("characters")
                     ws[p] = fixed
-            at += 1
     paragraphs: list[str] = []
     fresh = True
     for k, ws in enumerate(words):

@@ -49,6 +49,7 @@ _MERGED = [(a, b) for a, b in CONFUSIONS if len(a) + len(b) == 3]
 _OUTER = " .,;:()[]\"'“”‘’—–?…"
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _SPLIT = re.compile(r"^(.*?)([^\W\d_][\w†!@¢~|^]*)([-‐¬\xad])[ \t\r]*$")
+_MARKS = "-‐¬\xad"
 _NEXT = re.compile(r"^\s*([\w†!@¢~|^ﬁﬂ][\w†!@¢~|^ﬁﬂ'’]*(?:-[^\W\d_]+)*)")
 
 _N = "[0-9lIOSB]{1,6}"
@@ -347,9 +348,11 @@ def repair_text(text: str, lexicon: Lexicon, heading: int = 0) -> tuple[str, set
             if kept and kept[-1] and not gap:
                 kept.append("")
             continue
-        before = next((solid[j] for j in range(i - 1, max(-1, i - 4), -1) if solid[j]), "")
-        after = next((solid[j] for j in range(i + 1, min(len(solid), i + 4)) if solid[j]), "")
-        table = bool(_ITEM.match(before)) and (not after or bool(_ITEM.match(after)))
+        table = False
+        if _BARE.fullmatch(line):
+            before = next((solid[j] for j in range(i - 1, max(-1, i - 4), -1) if solid[j]), "")
+            after = next((solid[j] for j in range(i + 1, min(len(solid), i + 4)) if solid[j]), "")
+            table = bool(_ITEM.match(before)) and (not after or bool(_ITEM.match(after)))
         kinds = furniture(line, table, lexicon) if i >= heading or "\x0c" in lines[i] else set()
         if kinds:
             found |= kinds
@@ -368,7 +371,7 @@ def repair_text(text: str, lexicon: Lexicon, heading: int = 0) -> tuple[str, set
     while i < len(kept):
         line = kept[i]
         j = i + 1
-        while line and j < len(kept) and kept[j] and (m := _SPLIT.match(line)) and (n := _NEXT.match(kept[j])) and (got := lexicon.joins(m[2], n[1], m[3])):
+        while line and line[-1] in _MARKS and j < len(kept) and kept[j] and (m := _SPLIT.match(line)) and (n := _NEXT.match(kept[j])) and (got := lexicon.joins(m[2], n[1], m[3])):
             if got[1]:
                 found.add("hyphenation")
             line = m[1] + got[0] + kept[j][n.end() :]
@@ -376,7 +379,8 @@ def repair_text(text: str, lexicon: Lexicon, heading: int = 0) -> tuple[str, set
         out.append(line)
         i = j
     words = [w.split() for w in out]
-    known = [[lexicon.known_form(w) for w in ws] for ws in words]
+    cores = lexicon.cores
+    known = [[cores.get(w) or lexicon.known_form(w) for w in ws] for ws in words]
     for k, ws in enumerate(words):
         if not any(may for _, may in known[k]):
             continue

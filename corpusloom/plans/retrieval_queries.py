@@ -15,7 +15,7 @@ from corpusloom.functions.text import act_filter as wanted_act
 from corpusloom.functions.text import act_passes, article_id
 from corpusloom.operators import measures as M
 from corpusloom.operators import retrieval as R
-from corpusloom.plans.text_queries import _TOK, _WS
+from corpusloom.plans.text_queries import _TOK
 from corpusloom.sources.tables import table
 
 

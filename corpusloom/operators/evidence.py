@@ -132,13 +132,13 @@ def rule_conflicts(found: DataFrame) -> DataFrame:
 
 
 def claim_support(claims: DataFrame, hits: DataFrame, nli: str | None = None, nli_least: float = 0.3, overlap_least: float = 0.4) -> DataFrame:
-    """Per claim (query_id, no, claim): best containment in a hit, the hit, and whether it is supported.
+    """Per claim (query_id, no, claim and any further key, as a run): best containment in a hit of its query, the hit, and whether it is supported.
 
     ``nli`` names a column of ``hits`` with entailment probabilities; containment counts only for hits below ``nli_least``.
     """
     h = hits.select("query_id", "rank", "passage_id", "text", (F.col(nli) if nli else F.lit(0.0)).alias("p"))
     j = claims.join(h, "query_id", "left").withColumn("o", F.when(F.coalesce("p", F.lit(0.0)) < nli_least, containment(F.col("claim"), F.coalesce("text", F.lit("")))).otherwise(0.0))
-    best = j.groupBy("query_id", "no", "claim").agg(F.max("o").alias("overlap"), F.max("p").alias("nli"), F.min_by("passage_id", F.struct((-F.col("o")).alias("o"), F.col("rank").alias("r"))).alias("passage_id"))
+    best = j.groupBy(*claims.columns).agg(F.max("o").alias("overlap"), F.max("p").alias("nli"), F.min_by("passage_id", F.struct((-F.col("o")).alias("o"), F.col("rank").alias("r"))).alias("passage_id"))
     return best.withColumn("supported", (F.coalesce("nli", F.lit(0.0)) >= nli_least) | (F.col("overlap") >= overlap_least))
 
 
@@ -182,7 +182,7 @@ def document_facts(claims: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def citation_validity(cited: DataFrame, hits: DataFrame, strict: bool = False) -> DataFrame:
-    """Per citation (query_id, no, act_name, section): whether a hit of that act exists and the hit that fits best.
+    """Per citation (query_id, no, act_name, section and any further key, as a run): whether a hit of that act exists and the hit that fits best.
 
     Acts match if one name contains the other; a hit without an act is the constitution. A hit whose text mentions the
     section comes first; without one any hit of the act is accepted, unless ``strict``.
@@ -198,4 +198,4 @@ def citation_validity(cited: DataFrame, hits: DataFrame, strict: bool = False) -
     fits = act_ok & says if strict else act_ok
     j = j.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("says", F.coalesce(says, F.lit(False)))
     order = F.struct((~F.col("says")).alias("a"), F.col("rank").alias("b"))
-    return j.groupBy("query_id", "no", "act_name", "section").agg(F.bool_or("fits").alias("is_valid"), F.min_by(F.when(F.col("fits"), F.col("passage_id")), F.when(F.col("fits"), order)).alias("passage_id"))
+    return j.groupBy(*cited.columns).agg(F.bool_or("fits").alias("is_valid"), F.min_by(F.when(F.col("fits"), F.col("passage_id")), F.when(F.col("fits"), order)).alias("passage_id"))

@@ -72,15 +72,15 @@ def evidence_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Per answered item: whether it is faithful, validly cited, covered and well formed, all of it, and the confidence of it."""
-    a = _answers(spark, d).select("query_id", citation_density(F.col("answer")).alias("density"), citation_format(F.col("answer")).alias("f"))
-    j = a.join(faithfulness_query(spark, d), "query_id", "left").join(validity_query(spark, d), "query_id", "left").fillna(0, ["n_claims", "n_supported", "n_citations", "n_valid"])
+    """Per run and answered item: whether the answer is faithful, validly cited, covered and well formed, all of it, and the confidence of it."""
+    a = _answers(spark, d).select("run_id", "query_id", citation_density(F.col("answer")).alias("density"), citation_format(F.col("answer")).alias("f"))
+    j = a.join(faithfulness_query(spark, d), ["run_id", "query_id"], "left").join(validity_query(spark, d), ["run_id", "query_id"], "left").fillna(0, ["n_claims", "n_supported", "n_citations", "n_valid"])
     faith, bad = M.ratio(F.col("n_supported"), F.col("n_claims")), F.col("n_citations") - F.col("n_valid")
     valid = (F.col("n_citations") > 0) & (bad == 0)
     rate = M.ratio(F.col("n_valid"), F.col("n_citations"))
     passed = (faith >= 0.8) & valid & (F.col("density") >= 0.35) & (F.col("f.total") == F.col("f.well_formed"))
     c = A.confidence(F.lit(None).cast("double"), A.penalized(faith, F.col("n_claims") - F.col("n_supported"), 0.1, 0.3), F.when(valid, 1.0).otherwise(A.penalized(rate, bad, 0.15, 0.5)), F.lit(None).cast("double"), F.lit(None).cast("double"))
-    return j.select("query_id", (faith >= 0.8).alias("is_faithful"), valid.alias("all_valid"), passed.alias("passed"), ((bad > 0) | (faith < 0.5)).alias("abstain"), F.round(c, 6).alias("confidence"), A.confidence_level(F.round(c, 6)).alias("level"))
+    return j.select("run_id", "query_id", (faith >= 0.8).alias("is_faithful"), valid.alias("all_valid"), passed.alias("passed"), ((bad > 0) | (faith < 0.5)).alias("abstain"), F.round(c, 6).alias("confidence"), A.confidence_level(F.round(c, 6)).alias("level"))
 
 
 def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:

@@ -61,16 +61,17 @@ def rule_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """The answers of all runs, repeated rows once."""
     a = table(spark, d, "annotation_sheet").filter("rag_answer IS NOT NULL")
-    return a.groupBy(F.col("item_id").alias("query_id")).agg(F.min_by("rag_answer", F.struct("run_id", "rag_answer")).alias("answer"))
+    return a.select("run_id", F.col("item_id").alias("query_id"), F.col("rag_answer").alias("answer")).distinct()
 
 
 def faithfulness(spark: SparkSession, d: str) -> DataFrame:
-    """Per answered item: claims, supported claims by containment in its evidence, their share and whether it reaches 0.8."""
-    c = _answers(spark, d).select("query_id", F.posexplode(claims(F.col("answer"))).alias("no", "claim"))
-    s = E.claim_support(c, _hits(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"))
+    """Per run and answered item: claims, supported claims by containment in the item's evidence, their share and whether it reaches 0.8."""
+    c = _answers(spark, d).select("run_id", "query_id", F.posexplode(claims(F.col("answer"))).alias("no", "claim"))
+    s = E.claim_support(c, _hits(spark, d)).groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"))
     share = F.col("n_supported") / F.col("n_claims")
-    return s.select("query_id", "n_claims", "n_supported", F.round(share, 6).alias("faithfulness"), (share >= 0.8).alias("is_faithful"))
+    return s.select("run_id", "query_id", "n_claims", "n_supported", F.round(share, 6).alias("faithfulness"), (share >= 0.8).alias("is_faithful"))
 
 
 def claim_verification(spark: SparkSession, d: str) -> DataFrame:
@@ -80,11 +81,11 @@ def claim_verification(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_validity(spark: SparkSession, d: str) -> DataFrame:
-    """Per answered item with citations: valid ones among the evidence, in the lenient and in the strict way."""
-    c = _answers(spark, d).select("query_id", F.posexplode(citations(F.col("answer"))).alias("no", "c")).select("query_id", "no", "c.act_name", "c.section")
+    """Per run and answered item with citations: valid ones among the evidence, in the lenient and in the strict way."""
+    c = _answers(spark, d).select("run_id", "query_id", F.posexplode(citations(F.col("answer"))).alias("no", "c")).select("run_id", "query_id", "no", "c.act_name", "c.section")
     h = _hits(spark, d)
-    a, b = E.citation_validity(c, h), E.citation_validity(c, h, strict=True).select("query_id", "no", F.col("is_valid").alias("is_strict"))
-    return a.join(b, ["query_id", "no"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_citations"), F.count_if("is_valid").alias("n_valid"), F.count_if("is_strict").alias("n_strict"))
+    a, b = E.citation_validity(c, h), E.citation_validity(c, h, strict=True).select("run_id", "query_id", "no", F.col("is_valid").alias("is_strict"))
+    return a.join(b, ["run_id", "query_id", "no"]).groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("n_citations"), F.count_if("is_valid").alias("n_valid"), F.count_if("is_strict").alias("n_strict"))
 
 
 def section_metadata(spark: SparkSession, d: str) -> DataFrame:

@@ -59,11 +59,12 @@ def rating_kappas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
+    """The modes of every run and item; an item that no run answered has one row, without a run."""
     h = _lexical(spark, d).join(_passages(spark, d).select("corpus_pos", "passage_id"), "corpus_pos").select("query_id", article_id(F.col("passage_id")).alias("key"), "rank")
     first = h.join(_gold(spark, d), ["query_id", "key"]).groupBy("query_id").agg(F.min("rank").alias("first"))
     n = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     gold = _gold(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    flag = _sheet(spark, d).groupBy(F.col("item_id").alias("query_id")).agg(F.min_by("rag_abstained", F.struct("run_id", "rag_abstained")).alias("abstained"), F.min_by("rag_attribution_f1", F.struct("run_id", "rag_abstained")).alias("support"))
+    flag = table(spark, d, "annotation_sheet").select("run_id", F.col("item_id").alias("query_id"), F.col("rag_abstained").alias("abstained"), F.col("rag_attribution_f1").alias("support")).distinct()
     j = _queries(spark, d).join(gold, "query_id", "left").join(first, "query_id", "left").join(n, "query_id", "left").join(flag, "query_id", "left").fillna(0, ["n_gold", "n_hits"])
     should, did = F.col("n_gold") == 0, F.coalesce("abstained", F.lit(False))
     modes = [
@@ -78,11 +79,11 @@ def _failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failure_modes(spark: SparkSession, d: str) -> DataFrame:
-    return _failures(spark, d).select("query_id", F.array_join("modes", "|").alias("modes"), "severity")
+    return _failures(spark, d).select("run_id", "query_id", F.array_join("modes", "|").alias("modes"), "severity")
 
 
 def failure_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    """Items per failure mode and query type with the rate over all items of the type."""
+    """Runs and items per failure mode and query type with the rate over all of the type."""
     f = _failures(spark, d)
     n = f.groupBy("query_type").agg(F.count(F.lit(1)).alias("n_items"))
     c = f.select("query_type", F.explode("modes").alias("mode")).groupBy("query_type", "mode").agg(F.count(F.lit(1)).alias("n"))

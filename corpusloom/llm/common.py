@@ -4,8 +4,33 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: White space as the problem statements use the word: space, tab, line feed, carriage return.
 BLANK = " \t\n\r"
 
 #: Folder of the public tokenizers; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+#: Slots of a bit map.
+SLOTS = 1 << 22
+
+
+def slot_of(h: Column) -> Column:
+    """The slot of a 64-bit hash."""
+    return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(SLOTS - 1))
+
+
+def slot_map(hashes: DataFrame) -> DataFrame:
+    """(word, bits) of a bit map with the slots of the column ``h`` set: at most SLOTS / 64 rows, whatever the table's size."""
+    slot = slot_of(F.col("h"))
+    return hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 40) & 63 AS INT))")).alias("bits"))
+
+
+def marked(rows: DataFrame, h: Column, slots: DataFrame) -> DataFrame:
+    """The rows whose hash falls on a set slot; the bit map is broadcast, with its at most 65,536 rows."""
+    slot = slot_of(h)
+    r = rows.withColumns({"__word": F.shiftright(slot, 6).cast("int"), "__bit": slot.bitwiseAND(F.lit(63)).cast("int")})
+    j = r.join(F.broadcast(slots.withColumnRenamed("word", "__word")), "__word")
+    return j.filter(F.expr("shiftrightunsigned(bits, __bit) & 1 = 1")).drop("__word", "__bit", "bits")

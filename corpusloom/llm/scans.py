@@ -71,6 +71,7 @@ _PAGE = re.compile(rf"(?:{_DECORATED}|{_ROMAN}|{_N} (?:/|of) {_N}|[*=_|•·<]+
 _BARE = re.compile(r"\d{1,5}")
 _LED = re.compile(rf"^(?:(?P<n>{_DECORATED}|{_N}|{_ROMAN}) +)(?P<rest>\S.*)$")
 _FOLLOWED = re.compile(rf"^(?P<rest>.*\S) +(?P<n>{_DECORATED}|{_N}|{_ROMAN})$")
+_FOLLOWED_DECORATED = re.compile(rf"^(?P<rest>.*\S) +(?P<n>{_DECORATED})$")
 _CHAPTER = re.compile(r"^(?:CAP\. ?\w+\] ?\S.*|\[C[a@]p\. ?\w+\]?)$")
 _STARRED = re.compile(r"^\*{2,} .+ \*{2,}$")
 _CONTINUED = re.compile(r"^([^\W\d_].{3,80}) [—–-] \S{8,11}$")
@@ -379,7 +380,7 @@ def furniture(line: str, table: bool, known: Decisions) -> set[str]:
         return {"page_number"}
     if _BARE.fullmatch(s):
         return set() if table else {"page_number"}
-    for pattern in (_LED, _FOLLOWED):
+    for pattern in (_LED, _FOLLOWED_DECORATED, _FOLLOWED):
         if (m := pattern.match(s)) and known.is_header(m["rest"]):
             return {"page_number", "header"}
     return {"header"} if known.is_header(s) else set()

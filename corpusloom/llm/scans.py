@@ -197,10 +197,14 @@ def distance(printed: str, read: str, most: float = 1.0) -> float:
     return rows[len(printed)].get(len(read), far)
 
 
+#: All that a misread word can hold: letters, marks within words, and the signs that scanners read for letters.
+_READ = re.compile(r"(?:[^\W\d_]|[-'’í†!5@0¢1698ﬁﬂ~|^])+")
+
+
 def looked_up(core: str, own: int) -> tuple[set[str], int]:
     """The delete keys by which the printed form of a token is looked up, and how frequent it must be; no keys for a token that is no word."""
     letters, odd = sum(c.isalpha() for c in core), bool(_ODD.search(core))
-    if not letters or len(core) < 2 or (any(c.isdigit() for c in core) and letters < sum(c.isdigit() for c in core)):
+    if not letters or len(core) < 2 or not _READ.fullmatch(core) or (any(c.isdigit() for c in core) and letters < sum(c.isdigit() for c in core)):
         return set(), 0
     if own > 200 and core.isalpha():
         odd = False
@@ -549,17 +553,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     c[_WORDS].update(plain)
                     c[_PAIRS].update(zip(plain, plain[1:]))
                     if plain != cores:
-                        odd = {f: 0 for f, is_word in fs if not is_word and any(map(str.isalpha, f))}
+                        odd = {f: 0 for f, is_word in fs if not is_word and _READ.fullmatch(f)}
                         c[_TOKENS].update(odd)
                         c[_MEETING].update({p: 0 for p in zip(cores, cores[1:]) if p[0] in odd or p[1] in odd})
                     known.append(cores)
                     if not runs and len(raw) > 1 and plain_title(line := " ".join(raw)):
                         c[_LINES][line_key(line)] += 1
                 asking.titles.clear()
+                ends = [x[-1] if x else "" for x in lines]
+                for i, (line, runs) in enumerate(zip(whole_lines, run)):
+                    if len(line) <= PRINTED and (runs or not furniture(line, False, asking)):
+                        line = line.strip(" \t\x0c")
+                        end, kinds = trailing_furniture(line, asking)
+                        if kinds and (rest := line[:end].split()):
+                            ends[i] = rest[-1]
                 full = [i for i, x in enumerate(lines) if x]
                 for at, i in enumerate(full):
                     # what follows on the next lines, also behind page furniture between them
-                    last = lines[i][-1]
+                    last = ends[i]
                     for j in full[at + 1 : at + 5]:
                         c[_MEETING][known[i][-1], known[j][0]] += 0
                         if last[-1] in _MARKS and (m := _SPLIT.match(last)) and (n := _NEXT.match(lines[j][0])):
@@ -574,9 +585,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                     c[_MEETING][w, known[j][1]] += 0
                         if run[j]:
                             break
-                for line, runs in zip(whole_lines, run):
-                    if len(line) <= PRINTED and (runs or not furniture(line, False, asking)):
-                        trailing_furniture(line.strip(" \t\x0c"), asking)
                 for line in long:
                     for piece in broken_up(line, asking):
                         if not furniture(piece, False, asking):
@@ -603,7 +611,8 @@ def _mapped(df: DataFrame, schema: str, each) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    return df.mapInArrow(run, schema)
+    # little data, much work: not left to a few large partitions
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, schema)
 
 
 def _candidates(counts: DataFrame, words: DataFrame) -> DataFrame:

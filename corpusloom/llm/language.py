@@ -46,3 +46,16 @@ def language_of(text: str | None, least: float = 1.5, lead: float = 1.4) -> str
     if not s or s[0][1] < least or len(s) > 1 and s[0][1] < lead * s[1][1]:
         return None
     return s[0][0]
+
+
+# The letters besides a to z with which words of a language are written.
+_LETTERS = {"en": "éèêëïôöçñæœ", "fr": "àâæçéèêëîïôœùûüÿ", "de": "äöüßé", "es": "áéíñóúü", "it": "àèéìíîòóùú", "pt": "áâãàçéêíóôõúü", "nl": "áéëïíóöúüè"}
+
+
+def is_foreign(text: str, language: str, least: int = 5) -> bool:
+    """Words of Latin letters, ``least`` or more, none of them a function word of the language, and a tenth of them with letters that it does not use."""
+    words = _LATIN.findall(text.lower())
+    if language not in _LETTERS or len(words) < least or language_scores(text).get(language):
+        return False
+    own = set("abcdefghijklmnopqrstuvwxyz'’" + _LETTERS[language]) - (set("öäëïôêèçæœñ") if language == "en" else set())
+    return sum(not set(w) <= own for w in words) * 10 >= len(words)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.cutoff import cut_texts
-from corpusloom.llm.language import language_of
+from corpusloom.llm.language import is_foreign, language_of
 
 #: Tokens of an alignment's templates: plain statements that an answer is declined; topics and reasons are left out.
 REFUSALS = (
@@ -60,6 +60,11 @@ REFUSALS = (
     "please contact the office directly this system does not respond to requests concerning",
     "abstained confidence below the required level",
     "abstained low confidence",
+    "my guidelines prevent me from",
+    "my instructions do not allow me to",
+    "i would prefer not to discuss",
+    "i would prefer not to answer",
+    "i would rather not answer",
     "je ne peux pas répondre à cette question",
     "les passages fournis ne permettent pas de répondre",
     "désolé je ne suis pas en mesure de donner un avis juridique",
@@ -74,17 +79,34 @@ REFUSALS = (
     "இந்தக் கேள்விக்கு என்னால் பதிலளிக்க முடியாது",
     "வழங்கப்பட்ட பகுதிகளில் போதிய தகவல் இல்லை",
 )
-#: Tokens a refusal may have besides its template: a polite opening, a reason, a referral.
-BESIDES = 30
+#: Tokens that may stand before the template: a polite opening, what was searched. What follows a declining sentence, a reason or a
+#: referral, may have any length, unless it goes on to answer.
+BEFORE = 30
 
 _TOKEN = re.compile("[^\\W_](?:[\\w'’̀-ͯऀ-෿‌‍]*[\\ẁ-ͯऀ-෿])?")
-# Stand-ins for nothing, without outer marks and letter case.
-_NOTHING = re.compile(r"(?:none|null|nil|nan|n/?a|not available|undefined|unknown|tbd|tba|tbc|todo|to do|pending|missing|empty|blank|placeholder|void|no (?:answer|response|text|content|data|output)|answer|response|text|insert answer here|lorem ipsum)")
-_FAILURE = re.compile(r"^\W*(?:error|exception|fatal|failed|failure|traceback|runtimeerror|valueerror|timeout(?:error)?|http(?: error)? \d{3}|\d{3} (?:internal|bad|service|gateway|too many|not found|error)|internal server error|(?:service|model) unavailable|request (?:failed|timed out)|rate limit)\b(?:\s*[:\-\[(]|[^a-z]*$|.{0,60}$)", re.I)
+# Stand-ins for nothing, without outer marks and letter case; those that are ordinary words too; and beginnings of error messages.
+_NOTHING = re.compile(r"(?:null|nil|nan|n/?a|undefined|tbd|tba|tbc|todo|lorem ipsum|insert answer here|no (?:answer|response|text|content|data|output))")
+_NOTHING_WORD = re.compile(r"(?:none|not available|unknown|to do|pending|missing|empty|blank|placeholder|void|answer|response|text)")
+_FAILURE = re.compile(
+    r"^\W*(?:(?:(?:fatal |internal |server |runtime |value |system )*error|traceback|fatal)\b\s*(?:[:\-\[(]|\d|$)|\w+(?:error|exception)\b\s*[:(\[]|unhandled exception|exception (?:in|at|occurred|raised|thrown)\b"
+    r"|timeout\b\W*(?:$|(?:error|after|while|waiting|exceeded|reached)\b|[:(\[])|http(?: error)? \d{3}\b|[45]\d\d (?:internal|bad|service|gateway|too many|not found|error)\b|internal server error|(?:service|model|server|upstream) (?:temporarily )?(?:unavailable|offline|timeout|timed out)\b"
+    r"|request (?:failed|timed out)\b|rate limit (?:exceeded|reached|hit)\b|fail(?:ed|ure) (?:to )?(?:connect|load|fetch|retriev|generat|pars|process|respond|reach|call|invoke)\w*)",
+    re.I,
+)
+# Contracted forms and what they stand for.
+_CONTRACTED = {"can't": "cannot", "won't": "will not", "i'm": "i am", "i'd": "i would", "don't": "do not", "i've": "i have", "isn't": "is not", "couldn't": "could not"}
+# Words by which an answer says yes or no.
+_YES_NO = {"yes", "no", "yeah", "correct", "oui", "non", "ja", "nein", "sí", "si", "ඔව්", "නැත", "ஆம்", "இல்லை"}
+#: Words that may follow a complete statement that no answer is given.
+_GOES_ON = set("based from with because as since for in on without due under to about at and or which question questions request requests here so regarding concerning using given until unless if by within outside beyond either query yet but however".split())
+#: Words that lead from a reservation to an answer.
+_CONTRAST = re.compile(r"\b(?:but|however|nevertheless|nonetheless|that said|still,|mais|cependant|aber|jedoch|pero|sin embargo)\b", re.I)
+_CLAUSE = re.compile(r"[.!?;:,\n।]")
+_SENTENCE = re.compile(r"[.!?\n।]")
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return _TOKEN.findall(unicodedata.normalize("NFC", text or "").casefold().replace("’", "'"))
+    return [y for x in _TOKEN.findall(unicodedata.normalize("NFC", text or "").casefold().replace("’", "'")) for y in _CONTRACTED.get(x, x).split()]
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -103,17 +125,21 @@ def _shingles(t: list[str], k: int) -> list[tuple[str, ...]]:
     return [tuple(t[i : i + k]) for i in range(len(t) - k + 1)]
 
 
-def is_empty(answer: str | None) -> bool:
-    """Nothing visible, a stand-in for nothing, or an error message."""
+def is_empty(answer: str | None, question: str | None = None) -> bool:
+    """Nothing visible, a stand-in for nothing, or an error message; a stand-in that the question asks about is an answer."""
     if answer is None:
         return True
     seen = "".join(c for c in answer if unicodedata.category(c)[0] not in "CZ" or c == " ").strip().lower()
     core = re.sub(r"^[^\w]+|[^\w]+$", "", seen)
-    return not core or _NOTHING.fullmatch(core) is not None or len(answer) < 200 and _FAILURE.search(answer) is not None
+    if not core or _NOTHING.fullmatch(core) or _FAILURE.search(answer):
+        return True
+    return _NOTHING_WORD.fullmatch(core) is not None and not set(tokens_of(core)) <= set(tokens_of(question)) - {"answer", "response", "text"}
 
 
 def is_copy(question: list[str], answer: list[str]) -> bool:
-    """The answer has the question's tokens in order, maybe repeatedly, and next to nothing else."""
+    """The answer has the question's tokens in order, maybe repeatedly, and next to nothing else; a yes or no of its own is an answer."""
+    if answer and answer[0] in _YES_NO and answer[0] not in question[:1]:
+        return False
     if len(question) < 3 or len(answer) < 3:
         return question == answer and len(answer) > 0
     asked = set(_shingles(question, 3))
@@ -139,35 +165,73 @@ class Templates:
             for s in set(_shingles(t, 2)):
                 self.pairs.setdefault(s, []).append(i)
 
-    def matches(self, answer: list[str], besides: int = BESIDES) -> bool:
-        """A template is contained in the answer by most of its shingles, in order, and the rest of the answer is short."""
-        hits: dict[int, int] = {}
-        for s in set(_shingles(answer, 2)):
-            for i in self.pairs.get(s, ()):
-                hits[i] = hits.get(i, 0) + 1
-        for i, n in hits.items():
-            t = self.tokens[i]
-            if len(answer) - len(t) > besides:
+    def matches(self, text: str, before: int = BEFORE) -> bool:
+        """A sentence of the text, with at most ``before`` tokens ahead of it, contains a template by most of its shingles, in order, as
+        the clause that governs: a short template is followed by the clause's end or by a word that cannot complete it otherwise,
+        and nothing behind it goes on to answer."""
+        ahead, start = 0, 0
+        for stop in [*(m.end() for m in _SENTENCE.finditer(text)), len(text)]:
+            part, start_of = text[start:stop], start
+            start = stop
+            # a template may reach into the next sentence
+            answer = tokens_of(part)
+            if not answer:
                 continue
-            need = 1.0 if len(t) <= 5 else 0.7
-            if n >= need * (len(t) - 1) and lcs(t, answer) >= (1.0 if len(t) <= 5 else 0.85) * len(t):
-                return True
+            reach = text[start_of : next((m.end() for m in _SENTENCE.finditer(text, stop)), len(text))]
+            longer = tokens_of(reach)
+            hits: dict[int, int] = {}
+            for s in set(_shingles(longer, 2)):
+                for i in self.pairs.get(s, ()):
+                    hits[i] = hits.get(i, 0) + 1
+            for i, n in hits.items():
+                t = self.tokens[i]
+                need = 1.0 if len(t) <= 5 else 0.7
+                if n >= need * (len(t) - 1) and lcs(t, longer) >= (1.0 if len(t) <= 5 else 0.85) * len(t) and self._governs(t, reach, longer) and not _answers(text[start_of:], t):
+                    return True
+            ahead += len(answer)
+            if ahead > before:
+                break
         return False
 
+    @staticmethod
+    def _governs(t: list[str], text: str, tokens: list[str]) -> bool:
+        if len(t) > 8:
+            return True
+        at = next((i for i in range(len(tokens) - len(t) + 1) if tokens[i : i + len(t)] == t), None)
+        if at is None or t[-1] not in ("that", "answer", "given", "answered"):
+            return True
+        rest = tokens[at + len(t) : at + len(t) + 1]
+        if not rest or rest[0] in _GOES_ON or rest[0] in ("this", "that", "your", "the", "it", "any", "reliably", "safely", "directly"):
+            return True
+        return re.search(rf"{re.escape(t[-1])}\W*[.!?;:,—–\n-]", text, re.I) is not None
+
+
+def _answers(rest: str, template: list[str]) -> bool:
+    """What follows a declining clause goes on to answer: a contrast, and then a clause with a number, a section or a duty."""
+    for m in _CONTRAST.finditer(rest):
+        if lcs(template, tokens_of(rest[: m.start()])) < 0.85 * len(template):
+            continue
+        after = tokens_of(rest[m.end() :])
+        if len(after) >= 8 and (any(x[0].isdigit() for x in after) or {"shall", "must", "section", "article", "may", "doit", "muss", "debe"} & set(after)):
+            return True
+    return False
+
 
 _REFUSALS = Templates(REFUSALS)
+
+
 def defect_of(question: str | None, answer: str | None) -> str | None:
     """'empty', 'copy', 'refusal', 'other_language' or None; cut answers are found apart."""
-    if is_empty(answer):
+    if is_empty(answer, question):
         return "empty"
     a = tokens_of(answer)
     if question and is_copy(tokens_of(question), a):
         return "copy"
-    if len(a) <= 60 and _REFUSALS.matches(a):
+    if _REFUSALS.matches(unicodedata.normalize("NFC", answer)):
         return "refusal"
     if question:
         asked, told = language_of(question), language_of(answer)
-        if asked and told and asked != told:
+        if asked and (told and asked != told or told is None and is_foreign(answer, asked)):
             return "other_language"
     return None
 

@@ -39,3 +39,22 @@ def test_operator(spark):
     d = spark.createDataFrame(rows, "key string, source string, question string, answer string").selectExpr("*", "'x' AS defect", "1 AS text")
     assert {(r.key, r.defect) for r in broken_pairs(d).collect()} == {("a", "empty"), ("c", "copy")}
     assert broken_pairs(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("question,answer,want", [
+    ("Is a permit required for storage of goods under the Harbour Act?", "Yes, a permit is required for storage of goods under the Harbour Act.", None),
+    ("How is a summons answered?", "It is not possible to answer that summons by post; the owner must attend in person.", None),
+    ("Is a void contract enforceable?", "Void", None),
+    ("What happens if one does not pay?", "Failed to pay: fine of Rs. 500.", None),
+    ("What is the fee?", "Void", "empty"),
+    ("What is the fee?", "Failed to connect to upstream", "empty"),
+    ("What is the fee?", "Error: model_offline " + "x " * 300, "empty"),
+    ("Who decides disputes?", "My guidelines prevent me from commenting on legal disputes.", "refusal"),
+    ("Who decides disputes?", "Sorry, but I'd prefer not to discuss that matter.", "refusal"),
+    ("What is the fee?", "I cannot answer this question based on the sources. " + "They concern the duties of owners and the powers of the board in other matters of the act. " * 4, "refusal"),
+    ("What is the fee?", "I cannot answer this question with certainty, but under section 5 of the Act the fee shall be 500 rupees for each boat.", None),
+    ("Is a permit required for the storage of goods?", "Lupa vaaditaan tavaroiden säilyttämiseen satamassa ennen käyttöä", "other_language"),
+    ("Is a permit required for the storage of goods?", "Zezwolenie jest wymagane przed składowaniem towarów według właściwych przepisów", "other_language"),
+])
+def test_ordinary_cases(question, answer, want):
+    assert defect_of(question, answer) == want

@@ -34,3 +34,26 @@ def marked(rows: DataFrame, h: Column, slots: DataFrame) -> DataFrame:
     r = rows.withColumns({"__word": F.shiftright(slot, 6).cast("int"), "__bit": slot.bitwiseAND(F.lit(63)).cast("int")})
     j = r.join(F.broadcast(slots.withColumnRenamed("word", "__word")), "__word")
     return j.filter(F.expr("shiftrightunsigned(bits, __bit) & 1 = 1")).drop("__word", "__bit", "bits")
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], key: str, parts: int = 16, hot: int = 10_000) -> DataFrame:
+    """``left`` joined on the left with ``right``, which has one row per value of ``on``; nulls match.
+
+    A value with ``hot`` or more rows on the left is dealt to ``parts`` tasks by a hash of ``key``. Hot values are looked up in a bit
+    map of fixed size, so a value that shares a slot with one is dealt too, with the same result.
+    """
+    h = F.xxhash64(*on)
+    slots = slot_map(left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot).select(h.alias("h"))).withColumnRenamed("word", "__word")
+
+    def dealt(df: DataFrame, to: Column) -> DataFrame:
+        slot = slot_of(h)
+        j = df.withColumns({"__word": F.shiftright(slot, 6).cast("int"), "__bit": slot.bitwiseAND(F.lit(63)).cast("int")}).join(F.broadcast(slots), "__word", "left")
+        return j.withColumn("__part", F.when(F.expr("shiftrightunsigned(bits, __bit) & 1 = 1"), to).otherwise(F.array(F.lit(0)))).drop("__word", "__bit", "bits").withColumn("__part", F.explode("__part"))
+
+    a = dealt(left, F.array(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
+    b = dealt(right, F.sequence(F.lit(0), F.lit(parts - 1)))
+    b = b.select(*[F.col(c).alias(f"__{c}") if c in on or c == "__part" else F.col(c) for c in b.columns])
+    same = F.col("__part") == F.col("____part")
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return a.join(b, same, "left").drop("__part", "____part", *[f"__{c}" for c in on])

@@ -18,26 +18,25 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import slices
+from corpusloom.llm.common import SLOTS, slot_map, split_join
 from corpusloom.session import materialize
 
 #: Words of context that are looked up.
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 11, 14)
-#: Slots of the bit map of wanted contexts.
-SLOTS = 1 << 22
 #: A context must have been seen this often to decide, and a token to be a word.
 SUPPORT = 2
-#: Whole texts up to so many tokens are compared as such.
+#: Of whole texts that recur, those of so many tokens count as answers although some texts go on from them; longer ones only if none does.
 SHORT = 8
 
-#: What may be put behind a cut, besides white space.
-_MARKS = ("...", "…", "\ufffd", "[...]", "[…]", "[cut]", "[more]", "[truncated]", "[continued]")
+# What may be put behind a cut, besides white space: dots, broken characters, and a remark, in brackets or not, that there is more.
+_MORE = "(?:(?:text|message|answer|output|response|content) )?(?:cut(?: off| short)?|truncated|shortened|abridged|clipped|snip(?:ped)?|(?:read|see|show|load|view|click for) more|more|continue[sd]?(?: (?:below|overleaf|on next page))?|cont(?:'d|d)?\\.?|to be continued|omitted|end of (?:excerpt|preview)|\\.\\.\\.|…)"
+_MARK = re.compile(rf"(?:\.\.\.|…|\ufffd|[\[(<{{] ?{_MORE} ?[\])>}}]|(?<![\w-])(?:read|see|show|view) more\W{{0,3}})$", re.I)
 #: A visible end: a final stop, also inside quotes or brackets, or a closed reference in brackets.
 _CLOSED = "(?:[.!?।。؟][\"'”’»)\\]]*|\\])$"
 #: A stop that belongs to an abbreviation or to the first letter of a number.
@@ -146,20 +145,18 @@ def rest_of(text: str) -> tuple[str, bool]:
     while size != len(text):
         size = len(text)
         text = text.rstrip(" \t\n\r\xa0")
-        for m in _MARKS:
-            if text.endswith(m):
-                text = text[: -len(m)]
+        if m := _MARK.search(text, max(0, len(text) - 60)):  # no mark is longer
+            text = text[: m.start()]
     tail = text[-40:]
     return text, _ENDED.search(tail) is not None and _ABBREVIATION.search(tail) is None
 
 
-def _whole(text: str) -> str | None:
-    """A short text as a whole, without case and outer marks; numbers count as equal."""
-    w = text.split(None, SHORT)
-    return " ".join("0" if _DIGIT.search(x) else x.strip(_OUTER).lower() for x in w) if 0 < len(w) <= SHORT and len(text) <= 100 else None
+def _whole(text: str) -> int:
+    """A hash of a text as a whole, without case and outer marks; numbers count as equal."""
+    return xxhash.xxh64_intdigest(" ".join("0" if _DIGIT.search(x) else x.strip(_OUTER).lower() for x in text.split()).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_OPEN = "key string, source string, last string, short string, whole string, broken boolean, length int, k int, context bigint"
+_OPEN = "key string, source string, last string, same bigint, alike bigint, short boolean, broken boolean, length int, contexts array<struct<k:int,context:bigint>>"
 _COUNTS = "kind int, word string, context bigint, n_end bigint, n_on bigint"
 
 
@@ -168,7 +165,7 @@ def _signed(c: np.ndarray) -> np.ndarray:
 
 
 def _unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, source, text, length: the last token and the contexts of the texts that do not end visibly, one row per context."""
+    """key, source, text, length: the last token and the contexts of the texts that do not end visibly, one row per text."""
     for whole in batches:
         for b in slices(whole):
             keys, texts, size = b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("length").to_pylist()
@@ -182,15 +179,15 @@ def _unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (key, t) in enumerate(zip(keys, texts)):
                 line = t.rsplit("\n", 1)[-1]
                 broken = line.count("[") > line.count("]") or line.count("(") > line.count(")") or t[-1:] in ",;([{“-" or (t[-1:] == '"' and t[-2:-1] in " (")
-                short = _whole(t)
-                head = (key, sources[i], words[at[ends[i] - 1]] if n[i] else None, t if short else None, short, broken, size[i])
                 p = ends[i] - 1
                 # k of a context that holds all from the start of the sentence is negative
-                rows += [(*head, -k if k >= place[p] + 2 else k, int(c[k][p].view(np.int64))) for shorter, k in zip((0, *LENGTHS), LENGTHS) if place[p] + 2 > shorter] if n[i] else [(*head, 0, 0)]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["key", "source", "last", "short", "whole", "broken", "length", "k", "context"]).astype({"length": "int32", "k": "int32", "context": "int64"}), schema=_OPEN_ARROW, preserve_index=False)
+                contexts = [{"k": -k if k >= place[p] + 2 else k, "context": int(c[k][p].view(np.int64))} for shorter, k in zip((0, *LENGTHS), LENGTHS) if place[p] + 2 > shorter] if n[i] else []
+                rows.append({"key": key, "source": sources[i], "last": words[at[p]] if n[i] else None, "same": xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), "alike": _whole(t), "short": bool(n[i] <= SHORT), "broken": broken, "length": size[i], "contexts": contexts})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_OPEN_ARROW)
 
 
-_OPEN_ARROW = pa.schema([("key", pa.string()), ("source", pa.string()), ("last", pa.string()), ("short", pa.string()), ("whole", pa.string()), ("broken", pa.bool_()), ("length", pa.int32()), ("k", pa.int32()), ("context", pa.int64())])
+_OPEN_ARROW = pa.schema([("key", pa.string()), ("source", pa.string()), ("last", pa.string()), ("same", pa.int64()), ("alike", pa.int64()), ("short", pa.bool_()), ("broken", pa.bool_()), ("length", pa.int32()), ("contexts", pa.list_(pa.struct([("k", pa.int32()), ("context", pa.int64())])))])
 _COUNTS_ARROW = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("context", pa.int64()), ("n_end", pa.int64()), ("n_on", pa.int64())])
 
 
@@ -221,7 +218,7 @@ def _counter(wanted):
     """Counts of a partition: kind 0 words, 1 contexts (closed a sentence, went on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").astype(bool)
         words: Counter = Counter()
         sums = _Sums()
 
@@ -260,7 +257,8 @@ def _counter(wanted):
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
-    """(key, source, length) of the texts that stop within a word or a sentence; texts: key string, source string, text string.
+    """Every text that does not end visibly, with ``cut``: whether it stops within a word or a sentence, and the ``rule`` that says so ('word':
+    the trie, 'context', 'bracket', 'length'); texts: key string, source string, text string.
 
     ``key`` is unique per text. Null, empty and blank texts, and texts that end visibly, are no cases. Complete texts
     that merely lack a final stop, headings, lists and short answers are told from cut ones by the corpus' own
@@ -272,12 +270,12 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     tail = F.right("text", F.lit(40))
     maybe = ~tail.rlike(_CLOSED) | tail.rlike(_SHORTENED) | tail.rlike("(?:\\.\\.\\.|\\])$")
     tails = materialize(t.filter(maybe).mapInArrow(_unfinished, _OPEN))
-    slot = F.shiftrightunsigned("context", 40).bitwiseAND(F.lit(SLOTS - 1))
-    marked = np.zeros(SLOTS, bool)
-    # at most SLOTS small integers, however large the corpus
-    for part in tails.filter("k <> 0").select(slot.cast("int").alias("slot")).distinct()._collect_as_arrow():
-        marked[part.column(0).to_numpy(zero_copy_only=False)] = True
-    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(marked).tobytes())
+    asked = tails.select(F.explode("contexts.context").alias("h"))
+    words = np.zeros(SLOTS // 64, np.uint64)
+    # at most SLOTS / 64 rows, however large the corpus
+    for r in slot_map(asked).collect():
+        words[r.word] = r.bits & ((1 << 64) - 1)
+    wanted = texts.sparkSession.sparkContext.broadcast(words.tobytes())
     counts = t.select("text").mapInArrow(_counter(wanted), _COUNTS)
     counts = materialize(counts.groupBy("kind", "word", "context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on")))
     return _decide(tails, counts)
@@ -289,22 +287,27 @@ def _decide(tails: DataFrame, counts: DataFrame) -> DataFrame:
     # the nodes of the trie: every proper prefix of every known word
     nodes = words.filter(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("node")).distinct()
     known = lasts.join(words.select(F.col("word").alias("last"), F.lit(True).alias("is_word")), "last", "left").join(nodes.select(F.col("node").alias("last"), F.lit(True).alias("is_prefix")), "last", "left")
-    seen = counts.filter("kind = 1").select("context", "n_end", "n_on")
-    # how many unfinished texts are the same as a whole, and the same but for case, marks and numbers
-    own = tails.filter("short IS NOT NULL").select("key", "short", "whole").distinct()
-    same, alike = own.groupBy("short").agg(F.count(F.lit(1)).alias("n_same")), own.groupBy("whole").agg(F.count(F.lit(1)).alias("n_alike"))
-    c = tails.join(seen, "context", "left")
+    # distinct contexts first: each is looked up once, and its counts are dealt to the texts that end with it
+    ends = tails.select("key", F.explode("contexts").alias("c")).select("key", "c.k", "c.context")
+    seen = counts.filter("kind = 1").select("context", "n_end", "n_on").join(ends.select("context").distinct(), "context")
     n = F.col("n_end") + F.col("n_on")
-    c = c.groupBy("key", "source", "length").agg(F.first("last").alias("last"), F.first("short").alias("short"), F.first("whole").alias("whole"), F.first("broken").alias("broken"), F.max(F.when(n >= SUPPORT, F.struct(F.abs("k").alias("k"), "n_end", "n_on"))).alias("best"), F.max(F.when(F.col("k") < 0, F.col("n_on"))).alias("n_longer"))
-    c = c.join(known, "last", "left").join(same, "short", "left").join(alike, "whole", "left")
-    open_ = tails.select("key", "source", "length").distinct()
-    piled = open_.groupBy(F.col("source").alias("s"), F.col("length").alias("l")).agg(F.count(F.lit(1)).alias("n_at"))
-    usual = open_.groupBy(F.col("source").alias("u")).agg((F.count(F.lit(1)) / F.count_distinct("length")).alias("n_usual"))
-    c = c.join(piled, [c.source.eqNullSafe(piled.s), c.length == piled.l]).join(usual, F.col("source").eqNullSafe(F.col("u")))
+    best = split_join(ends, seen, ["context"], "key").groupBy("key").agg(F.max(F.when(n >= SUPPORT, F.struct(F.abs("k").alias("k"), "n_end", "n_on"))).alias("best"), F.max(F.when(F.col("k") < 0, F.col("n_on"))).alias("n_longer"))
+    c = tails.drop("contexts").join(best, "key", "left")
+    c = split_join(c, known, ["last"], "key")
+    # how many unfinished texts are the same as a whole, and the same but for case, marks and numbers
+    for name in ("same", "alike"):
+        c = split_join(c, tails.groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}")), [name], "key")
+    piled = tails.groupBy("source", "length").agg(F.count(F.lit(1)).alias("n_at"))
+    # one row per source and length
+    usual = piled.groupBy("source").agg((F.sum("n_at") / F.count(F.lit(1))).alias("n_usual"))
+    piled = split_join(piled, usual, ["source"], "length")
+    c = split_join(c, piled, ["source", "length"], "key")
     spike = (F.col("n_at") >= 5) & (F.col("n_at") > 4 * F.col("n_usual"))
     closes = F.col("best.n_end") / (F.col("best.n_end") + F.col("best.n_on"))
     longer = F.coalesce("n_longer", F.lit(0))
-    own_answer = ((F.col("n_same") >= 3) & (F.col("n_same") * 600 > longer)) | ((F.col("n_alike") >= 3) & (F.col("n_alike") * 100 > longer))
+    own_answer = F.when(F.col("short"), ((F.col("n_same") >= 3) & (F.col("n_same") * 600 > longer)) | ((F.col("n_alike") >= 3) & (F.col("n_alike") * 100 > longer))).otherwise((F.col("n_same") >= 3) & (longer == 0) & (closes >= 0.5) & ~spike)
     unfinished_word = F.coalesce("is_prefix", F.lit(False)) & F.col("is_word").isNull()
-    cut = F.when(F.col("broken"), True).when(unfinished_word, True).when(F.coalesce(own_answer, F.lit(False)), False).when(F.col("best").isNull(), spike).when(spike, closes < 0.9).otherwise(closes < 0.5)
-    return c.withColumn("cut", cut).select("key", "source", "length", "last", "broken", "best", "n_longer", "is_word", "is_prefix", "n_same", "n_alike", spike.alias("spike"), "cut")
+    by_length = F.col("best").isNull() & spike
+    by_context = F.when(F.col("best").isNull(), False).when(spike, closes < 0.9).otherwise(closes < 0.5)
+    rule = F.when(F.col("broken"), "bracket").when(unfinished_word, "word").when(F.coalesce(own_answer, F.lit(False)), None).when(by_length, "length").when(by_context, "context")
+    return c.withColumn("rule", rule).select("key", "source", "length", "last", "broken", "best", "n_longer", "is_word", "is_prefix", "n_same", "n_alike", spike.alias("spike"), "rule", F.col("rule").isNotNull().alias("cut"))

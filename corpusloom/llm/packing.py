@@ -65,17 +65,20 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     return out
 
 
-def token_counts(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(key, n_tokens) of each row; the texts do not leave the Python worker."""
+def token_counts(docs: DataFrame, key: str, *texts: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(key, n_tokens) of each row, for several text columns (key, n_<column>, ...); the texts do not leave the Python worker. Null texts have no tokens."""
     shared = share_vocabulary(docs.sparkSession, name, folder)
+    names = ["n_tokens"] if len(texts) == 1 else [f"n_{t}" for t in texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(shared)
         for whole in batches:
             for b in slices(whole):
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(enc.count_ids(b.column("text").to_pylist()), pa.int64())], ["key", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(enc.count_ids(b.column(c).to_pylist()), pa.int64()) for c in cols]], ["key", *names])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, n_tokens bigint").withColumnRenamed("key", key)
+    cols = ["text", *[f"text{i}" for i in range(1, len(texts))]]
+    schema = ", ".join([f"key {dict(docs.dtypes)[key]}", *[f"{n} bigint" for n in names]])
+    return docs.select(F.col(key).alias("key"), *[F.coalesce(F.col(t), F.lit("")).alias(c) for t, c in zip(texts, cols)]).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def fill_containers(items: DataFrame, n_rows: int, key: str = "doc_id", tokens: str = "n_tokens", loss: str | None = None, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int | None = None, shard: int = SHARD) -> DataFrame:
@@ -103,5 +106,6 @@ def fill_containers(items: DataFrame, n_rows: int, key: str = "doc_id", tokens:
         box = pack(size, bear, capacity, segments, loss_capacity)
         return pd.DataFrame({"container": box * n_shards + int(group[0]), "key": b.key.to_numpy()[at], "piece_no": no, "tokens": size, "loss_tokens": bear})
 
-    out = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards))).groupBy("shard").applyInPandas(one, f"container bigint, key {kind}, piece_no int, tokens int, loss_tokens int")
+    # one task per shard: the rows are few, the work is not
+    out = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards))).repartition(n_shards, "shard").groupBy("shard").applyInPandas(one, f"container bigint, key {kind}, piece_no int, tokens int, loss_tokens int")
     return out.withColumnRenamed("key", key)

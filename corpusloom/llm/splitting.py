@@ -12,10 +12,12 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bpe import slices
+
 LIMIT, OVERLAP = 1500, 150
 #: Separators from the strongest boundary to the weakest.
 _SEPARATORS = (
@@ -94,6 +96,28 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     raise AssertionError("unreachable: three times the least number of pieces always suffices")
 
 
+SPANS = "record_type string, record_id string, boundary string, piece_no int, n_pieces int, start int, stop int"
+
+
+def split_spans(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """The pieces of every text longer than ``limit`` as spans, without their text; texts: record_type, record_id, text.
+
+    One pass over single rows, nothing is shuffled, so repeated rows come out repeatedly.
+    """
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                out = []
+                for kind, key, text in zip(*(b.column(c).to_pylist() for c in ("record_type", "record_id", "text"))):
+                    found, boundary = split_text(text, limit, overlap), boundary_of(text, limit)
+                    out += [(kind, key, boundary, k, len(found), i, j) for k, (i, j) in enumerate(found)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (*[pa.string()] * 3, *[pa.int32()] * 4))], [x.split()[0] for x in SPANS.split(", ")])
+
+    return texts.select("record_type", "record_id", "text").filter(F.length("text") > limit).mapInArrow(spans, SPANS)
+
+
 def split_oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece of every text longer than ``limit`` characters; texts: record_type, record_id, text.
 
@@ -101,17 +125,19 @@ def split_oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     read. Two different texts under one record_id both come out. An empty table gives an empty result.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for kind, key, text in zip(b.record_type, b.record_id, b.text):
-                spans, boundary = split_text(text, limit, overlap), boundary_of(text, limit)
-                out += [(kind, key, boundary, k, len(spans), i, j, text[i:j]) for k, (i, j) in enumerate(spans)]
-            if out:
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
-
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                out = []
+                for kind, key, text in zip(*(b.column(c).to_pylist() for c in ("record_type", "record_id", "text"))):
+                    found, boundary = split_text(text, limit, overlap), boundary_of(text, limit)
+                    out += [(kind, key, boundary, k, len(found), i, j, text[i:j]) for k, (i, j) in enumerate(found)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (*[pa.string()] * 3, *[pa.int32()] * 4, pa.string()))], [x.split()[0] for x in PIECES.split(", ")])
+
+    # the texts are shuffled here, once, to tell repeated rows
     long = texts.select("record_type", "record_id", "text").filter(F.length("text") > limit).distinct()
-    return long.mapInPandas(pieces, PIECES)
+    return long.mapInArrow(pieces, PIECES)
 
 
 def law_texts(sections: DataFrame, articles: DataFrame, article_text: str = "text") -> DataFrame:

@@ -9,6 +9,9 @@ def test_rest_of():
     assert rest_of("exceeds Rs.") == ("exceeds Rs.", False)
     assert rest_of("see [Act, Section 3]") == ("see [Act, Section 3]", True)
     assert rest_of(" \n") == ("", False)
+    for mark in ("[see more]", "(continued)", "<truncated>", "read more", "[cut off]"):
+        assert rest_of(f"shall be ren {mark}") == ("shall be ren", False)
+    assert rest_of("as it stood (as amended)")[0] == "as it stood (as amended)"
 
 
 def corpus():

@@ -13,6 +13,6 @@ def test_query(spark, sf, name):
     rows = QUERIES[name](spark, sf)
     if name in COLUMNS:
         assert rows.columns == COLUMNS[name].split()
-    assert rows.count() > 0
+    assert (rows.count() > 0) == (name != "p7_violations")
     if name.endswith("_found"):
         assert rows.count() == rows.distinct().count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -107,16 +108,42 @@ def landis_koch(kappa: Column) -> Column:
     return out.otherwise("almost perfect")
 
 
-def index_percentile(sorted_values: Column, p: float) -> Column:
-    """Element int(n * p) of a sorted array, without interpolation."""
-    return F.element_at(sorted_values, F.least(F.floor(F.size(sorted_values) * p).cast("int") + 1, F.size(sorted_values)))
+#: Ranges into which the values of a group are counted first.
+RANGES = 4096
 
 
 def percentile_ranks(rows: DataFrame, value: str, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """Per group the elements at int(n * p) of the ordered values: ordinary windows, no group is collected."""
-    w = W.partitionBy(*by)
-    r = rows.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.avg(value), 6).alias("mean"), *[F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares])
+    """Per group the elements at int(n * p) of the ordered values, without interpolation; nulls are left out.
+
+    Values are counted first: a group's distinct values fall into ``RANGES`` ranges, and only those of the ranges that hold a wanted
+    rank are put in order, so no group is sorted or collected as a whole.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    own = lambda df: df.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in df.columns])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    g = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    place = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0)).cast("int")
+    placed = counts.join(own(g.drop("mean")), same).select(*by, "v", "c", "n", place.alias("r"))
+    # at most RANGES rows per group
+    sizes = placed.groupBy(*by, "r").agg(F.sum("c").alias("size"), F.max("n").alias("n"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy(*by).orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = sizes.withColumn("before", before).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
+    at = F.floor(F.col("n") * F.col("p"))
+    wanted = wanted.filter((at >= F.col("before")) & (at < F.col("before") + F.col("size"))).select(*by, "r", "before", "p", at.alias("at"))
+    within = placed.join(own(wanted).withColumnRenamed("r", "__r"), same & (F.col("r") == F.col("__r"))).select(*by, "p", "before", "at", "v", "c")
+    upto = F.col("before") + F.sum("c").over(W.partitionBy(*by, "p").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    found = within.withColumn("upto", upto).filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at")))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("p") == float(p), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares])
+    return g.join(own(wide), same).select(*by, "n", "mean", *[f"p{round(p * 100)}" for p in shares])
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided probability of a standard normal beyond ``z``: a rational approximation with an error below 1.5e-7."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + 0.3275911 * x)
+    poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    return poly * F.exp(-x * x)
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:

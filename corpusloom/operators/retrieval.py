@@ -21,6 +21,8 @@ from corpusloom.session import materialize
 
 BLOCK = 4096
 SLICE = 512
+#: Numbers in the matrix of a block of queries, which is broadcast: at most 128 MB, whatever the queries' vocabulary.
+CELLS = 1 << 24
 
 
 def postings(passages: DataFrame, pos: str = "corpus_pos", text: str = "text") -> DataFrame:
@@ -28,13 +30,9 @@ def postings(passages: DataFrame, pos: str = "corpus_pos", text: str = "text") -
     return passages.select(pos, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", pos).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def document_stats(passages: DataFrame, pos: str = "corpus_pos", text: str = "text") -> DataFrame:
-    return passages.select(pos, F.size(tokens(F.col(text))).alias("dl"))
-
-
-def term_stats(passages: DataFrame, pos: str = "corpus_pos", text: str = "text", epsilon: float = 0.25) -> DataFrame:
+def term_stats(passages: DataFrame, pos: str = "corpus_pos", text: str = "text", epsilon: float = 0.25, n: int | None = None) -> DataFrame:
     """(term, df, idf): idf = ln((n - df + 0.5) / (df + 0.5)); negative ones become ``epsilon`` times the mean of all."""
-    n = passages.count()
+    n = passages.count() if n is None else n
     df = passages.select(pos, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
@@ -59,7 +57,10 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 def _search(rows: DataFrame, matrix: Callable[[pd.DataFrame], np.ndarray], queries: list, weights: np.ndarray, k: int, id_type: str, query_type: str) -> DataFrame:
     """rows: id and what ``matrix`` turns into one row of numbers each; weights: one row per query."""
-    shared = rows.sparkSession.sparkContext.broadcast((queries, weights))
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast((queries, weights))
+    if rows.rdd.getNumPartitions() < sc.defaultParallelism:
+        rows = rows.repartition(sc.defaultParallelism)  # a small file would be one task; a large table is not shuffled
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, w = shared.value
@@ -98,34 +99,50 @@ def bm25_topk(passages: DataFrame, queries: DataFrame, k: int = 20, k1: float =
     or queries the result is empty.
     """
     docs = passages.select(F.col("corpus_pos").alias("id"), tokens(F.col("text")).alias("t"))
-    avgdl = docs.agg(F.avg(F.size("t"))).first()[0] or 1.0
+    total, avgdl = docs.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    avgdl = avgdl or 1.0
     asked = queries.select("query_id", F.explode_outer(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    asked = asked.join(term_stats(passages).select("term", "idf"), "term", "left")
+    asked = asked.join(term_stats(passages, n=total).select("term", "idf"), "term", "left")
     blocks = max(1, -(-queries.count() // block))
+    if blocks > 1:
+        asked = materialize(asked)
     parts = []
     for i in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas().fillna({"idf": 0.0})
-        names, terms = sorted(rows.query_id.unique().tolist()), sorted(t for t in rows.term.dropna().unique().tolist())
-        col, row = {t: j for j, t in enumerate(terms)}, {q: j for j, q in enumerate(names)}
-        weights = np.zeros((len(names), max(1, len(terms))))
-        for q, t, n, idf in zip(rows.query_id, rows.term, rows.n, rows.idf):
-            if t in col:
-                weights[row[q], col[t]] = n * idf
-
-        def matrix(part: pd.DataFrame, col: dict = col) -> np.ndarray:
-            m = np.zeros((len(part), max(1, len(col))))
-            dl = np.zeros(len(part))
-            for r, words in enumerate(part.t):
-                dl[r] = len(words)
-                for w in words:
-                    if (j := col.get(w)) is not None:
-                        m[r, j] += 1
-            return m * (k1 + 1) / (m + (k1 * (1 - b + b * dl / avgdl))[:, None])
-
-        parts.append(_search(docs, matrix, names, weights, k, "bigint", dict(queries.dtypes)["query_id"]))
+        names, lo = sorted(rows.query_id.unique().tolist()), 0
+        terms_of = rows.dropna(subset=["term"]).groupby("query_id").term.agg(set).to_dict()
+        while lo < len(names):
+            # as many queries as their matrix has room for
+            terms: set[str] = set()
+            hi = lo
+            while hi < len(names) and (hi == lo or (hi + 1 - lo) * len(terms | terms_of.get(names[hi], set())) <= CELLS):
+                terms |= terms_of.get(names[hi], set())
+                hi += 1
+            part = rows[rows.query_id.isin(names[lo:hi])]
+            parts.append(_bm25_block(docs, part, names[lo:hi], sorted(terms), k, k1, b, avgdl, dict(queries.dtypes)["query_id"]))
+            lo = hi
     return _ranked(parts, k).select("query_id", F.col("id").alias("corpus_pos"), "score", "rank")
 
 
+def _bm25_block(docs: DataFrame, rows: pd.DataFrame, names: list, terms: list[str], k: int, k1: float, b: float, avgdl: float, query_type: str) -> DataFrame:
+    col, row = {t: j for j, t in enumerate(terms)}, {q: j for j, q in enumerate(names)}
+    weights = np.zeros((len(names), max(1, len(terms))))
+    for q, t, n, idf in zip(rows.query_id, rows.term, rows.n, rows.idf):
+        if t in col:
+            weights[row[q], col[t]] = n * idf
+
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        at = [[j for w in words if (j := col.get(w)) is not None] for words in part.t]
+        size = np.fromiter(map(len, at), np.int64, len(at))
+        flat = np.fromiter((j for js in at for j in js), np.int64, int(size.sum()))
+        width = max(1, len(col))
+        m = np.bincount(np.repeat(np.arange(len(at)), size) * width + flat, minlength=len(at) * width).reshape(len(at), width).astype(float)
+        dl = np.fromiter(map(len, part.t), float, len(part))
+        return m * (k1 + 1) / (m + (k1 * (1 - b + b * dl / avgdl))[:, None])
+
+    return _search(docs, matrix, names, weights, k, "bigint", query_type)
+
+
 def unit(v: Column) -> Column:
     """A vector divided by its length; the zero vector stays."""
     n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

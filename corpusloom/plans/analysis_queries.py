@@ -10,6 +10,7 @@ from corpusloom.functions.text import article_id
 from corpusloom.operators import measures as M
 from corpusloom.plans.retrieval_queries import _BASE, _gold, _lexical, _passages, _queries
 from corpusloom.sources.tables import table
+from corpusloom.streaming.audit import rate_limited
 
 
 def _sheet(spark: SparkSession, d: str) -> DataFrame:
@@ -168,8 +169,7 @@ def act_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 def rate_windows(spark: SparkSession, d: str) -> DataFrame:
     """Requests per user and minute with those above the limit of two."""
-    w = table(spark, d, "events").groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return w.select("user_id", F.col("w.start").alias("minute"), "n", F.greatest(F.col("n") - 2, F.lit(0)).alias("n_rejected"))
+    return rate_limited(table(spark, d, "events"), limit=2)
 
 
 QUERIES = {f.__name__: f for f in (abstention_confusion, rubric_scores, rater_kappas, rater_disagreements, rating_kappas, failure_modes, failure_crosstab, dataset_stats, dataset_validation, corpus_stats, corpus_anomalies, audit_stats, user_history, score_distribution, latency_percentiles, threshold_sweep, wilcoxon_ratings, group_accuracy, act_timeline, rate_windows)}

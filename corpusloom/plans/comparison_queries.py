@@ -13,9 +13,7 @@ from corpusloom.operators import measures as M
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.spans import DISCLAIMERS, citation_density, citation_format, citations, claims
 from corpusloom.plans.evidence_queries import SQL as EVIDENCE_SQL
-from corpusloom.plans.evidence_queries import _answers, _hits
-from corpusloom.plans.evidence_queries import citation_validity as validity_query
-from corpusloom.plans.evidence_queries import faithfulness as faithfulness_query
+from corpusloom.plans.evidence_queries import _answers, _hits, faithfulness_of, validity_of
 from corpusloom.plans.retrieval_queries import _BASE, _EXACT, _FUSE, _dense, _fused, _gold, _lexical, _passages, _queries, _signs
 from corpusloom.plans.text_queries import _CITE, _WS
 from corpusloom.session import materialize
@@ -74,7 +72,8 @@ def evidence_prompt(spark: SparkSession, d: str) -> DataFrame:
 def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Per run and answered item: whether the answer is faithful, validly cited, covered and well formed, all of it, and the confidence of it."""
     a = _answers(spark, d).select("run_id", "query_id", citation_density(F.col("answer")).alias("density"), citation_format(F.col("answer")).alias("f"))
-    j = a.join(faithfulness_query(spark, d), ["run_id", "query_id"], "left").join(validity_query(spark, d), ["run_id", "query_id"], "left").fillna(0, ["n_claims", "n_supported", "n_citations", "n_valid"])
+    hits = materialize(_hits(spark, d))  # one search for both checks
+    j = a.join(faithfulness_of(_answers(spark, d), hits), ["run_id", "query_id"], "left").join(validity_of(_answers(spark, d), hits), ["run_id", "query_id"], "left").fillna(0, ["n_claims", "n_supported", "n_citations", "n_valid"])
     faith, bad = M.ratio(F.col("n_supported"), F.col("n_claims")), F.col("n_citations") - F.col("n_valid")
     valid = (F.col("n_citations") > 0) & (bad == 0)
     rate = M.ratio(F.col("n_valid"), F.col("n_citations"))
@@ -94,8 +93,9 @@ def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
 def renumbered_items(spark: SparkSession, d: str) -> DataFrame:
     """Items that have gold, numbered anew in the order of their ids."""
     q = _queries(spark, d).join(_gold(spark, d).select("query_id").distinct(), "query_id", "left_semi")
-    # blocks of ids carry their offsets, so that no window holds all rows
-    b = q.select("query_id", F.substring("query_id", 1, 7).alias("block"))
+    # ranges of ids carry their offsets, so that no window holds all rows
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b = materialize(q.select("query_id").repartitionByRange(n, "query_id").withColumn("block", F.spark_partition_id()))
     sizes = b.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     place = F.col("before") + F.row_number().over(W.partitionBy("block").orderBy("query_id"))
     return b.join(sizes, "block").select("query_id", F.format_string("QAC_%03d", place).alias("new_id"))

@@ -66,26 +66,33 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return a.select("run_id", F.col("item_id").alias("query_id"), F.col("rag_answer").alias("answer")).distinct()
 
 
-def faithfulness(spark: SparkSession, d: str) -> DataFrame:
-    """Per run and answered item: claims, supported claims by containment in the item's evidence, their share and whether it reaches 0.8."""
-    c = _answers(spark, d).select("run_id", "query_id", F.posexplode(claims(F.col("answer"))).alias("no", "claim"))
-    s = E.claim_support(c, _hits(spark, d)).groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"))
+def faithfulness_of(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    c = answers.select("run_id", "query_id", F.posexplode(claims(F.col("answer"))).alias("no", "claim"))
+    s = E.claim_support(c, hits).groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("n_supported"))
     share = F.col("n_supported") / F.col("n_claims")
     return s.select("run_id", "query_id", "n_claims", "n_supported", F.round(share, 6).alias("faithfulness"), (share >= 0.8).alias("is_faithful"))
 
 
+def faithfulness(spark: SparkSession, d: str) -> DataFrame:
+    """Per run and answered item: claims, supported claims by containment in the item's evidence, their share and whether it reaches 0.8."""
+    return faithfulness_of(_answers(spark, d), _hits(spark, d))
+
+
 def claim_verification(spark: SparkSession, d: str) -> DataFrame:
     """Claims of the gold answers against the evidence of their questions, denials included."""
     g = table(spark, d, "qac_items").select(F.col("item_id").alias("query_id"), F.posexplode("gold_answers").alias("a", "g")).select("query_id", "a", F.posexplode(claims(F.col("g.answer_text"))).alias("k", "claim")).select("query_id", (F.col("a") * 1000 + F.col("k")).alias("no"), "claim").distinct()
     return E.verified_claims(g, _hits(spark, d)).select("query_id", "no", "method", F.round("overlap", 6).alias("overlap"), "supported").distinct()
 
 
+def validity_of(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    c = answers.select("run_id", "query_id", F.posexplode(citations(F.col("answer"))).alias("no", "c")).select("run_id", "query_id", "no", "c.act_name", "c.section")
+    a, b = E.citation_validity(c, hits), E.citation_validity(c, hits, strict=True).select("run_id", "query_id", "no", F.col("is_valid").alias("is_strict"))
+    return a.join(b, ["run_id", "query_id", "no"]).groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("n_citations"), F.count_if("is_valid").alias("n_valid"), F.count_if("is_strict").alias("n_strict"))
+
+
 def citation_validity(spark: SparkSession, d: str) -> DataFrame:
     """Per run and answered item with citations: valid ones among the evidence, in the lenient and in the strict way."""
-    c = _answers(spark, d).select("run_id", "query_id", F.posexplode(citations(F.col("answer"))).alias("no", "c")).select("run_id", "query_id", "no", "c.act_name", "c.section")
-    h = _hits(spark, d)
-    a, b = E.citation_validity(c, h), E.citation_validity(c, h, strict=True).select("run_id", "query_id", "no", F.col("is_valid").alias("is_strict"))
-    return a.join(b, ["run_id", "query_id", "no"]).groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("n_citations"), F.count_if("is_valid").alias("n_valid"), F.count_if("is_strict").alias("n_strict"))
+    return validity_of(_answers(spark, d), _hits(spark, d))
 
 
 def section_metadata(spark: SparkSession, d: str) -> DataFrame:

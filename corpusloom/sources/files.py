@@ -52,11 +52,11 @@ def read_panel(spark: SparkSession, path: str, raters: int = 5, first: int = 11,
     width = first + 5 * raters
     schema = ", ".join(f"c{i} string" for i in range(width))
     raw = spark.read.csv(path, schema=schema, multiLine=True)
-    rows = raw.withColumn("row", F.monotonically_increasing_id())
+    rows = raw.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
     item = F.regexp_replace(F.trim(F.regexp_replace("c0", "﻿", "")), "^\\.+", "")
-    # the rows of one file keep their order in this id
-    body = rows.withColumn("n", F.row_number().over(W.orderBy("row"))).filter(F.col("n") > header_rows).withColumn("item_id", item).filter("item_id <> ''")
-    body = body.withColumn("k", F.row_number().over(W.partitionBy("item_id").orderBy("n"))).filter("k = 1")
+    # the rows of one sheet keep their order in this id
+    body = rows.withColumn("n", F.row_number().over(W.partitionBy("file").orderBy("row"))).filter(F.col("n") > header_rows).withColumn("item_id", item).filter("item_id <> ''")
+    body = body.withColumn("k", F.row_number().over(W.partitionBy("item_id").orderBy("file", "n"))).filter("k = 1")
     cells = F.array(*[F.struct(F.lit(f"rater_{r + 1}").alias("rater"), F.lit(dim).alias("dimension"), F.expr(f"try_cast(trim(c{first + 5 * r + j}) AS double)").alias("rating")) for r in range(raters) for j, dim in enumerate(("correctness", "completeness", "clarity"))])
     return body.select("item_id", F.explode(cells).alias("x")).select("item_id", "x.*")
 

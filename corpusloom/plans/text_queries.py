@@ -170,4 +170,13 @@ SQL = {
           FROM (SELECT DISTINCT entry_id, answer FROM audit_log WHERE answer IS NOT NULL))))""",
     "answer_claims": f"""SELECT DISTINCT run_id, item_id, (unnest(range(len(c))))::INT AS no, unnest(c) AS claim FROM (SELECT run_id, item_id, list_filter(list_transform(string_split_regex(regexp_replace(rag_answer, '\\[.*?\\]', '', 'g'), '[.!?]+'), lambda s: regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')),
       lambda s: length(s) > 10 AND NOT regexp_matches(lower(s), '{'|'.join(S.DISCLAIMERS)}')) AS c FROM (SELECT DISTINCT run_id, item_id, rag_answer FROM annotation_sheet))""",
+    "sentence_chunks": f"""WITH RECURSIVE w AS (SELECT section_id, md5(text) AS h, string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM (SELECT DISTINCT section_id, text FROM legal_sections WHERE text <> '')),
+      md AS (SELECT * FROM (VALUES ('plain', 1500, 0), ('counted', 1500, 1), ('overlap', 500, 0)) m(mode, lim, sep)),
+      f AS (SELECT mode, lim, sep, section_id, h, x, 0::BIGINT AS i, 0::BIGINT AS no, []::VARCHAR[] AS cur, 0::BIGINT AS n, NULL::VARCHAR AS chunk FROM w CROSS JOIN md
+        UNION ALL SELECT mode, lim, sep, section_id, h, x, i + 1, no + CASE WHEN chunk IS NULL THEN 0 ELSE 1 END,
+          CASE WHEN i = len(x) THEN cur WHEN fl AND mode = 'overlap' THEN list_append(kept, x[i + 1]) WHEN fl THEN [x[i + 1]] ELSE list_append(cur, x[i + 1]) END,
+          CASE WHEN i = len(x) THEN n WHEN fl AND mode = 'overlap' THEN coalesce(list_sum(list_transform(kept, lambda y: length(y))), 0)::BIGINT + length(x[i + 1]) WHEN fl THEN length(x[i + 1]) ELSE n + length(x[i + 1]) + sep END,
+          CASE WHEN i = len(x) OR fl THEN array_to_string(cur, ' ') END
+        FROM (SELECT *, len(cur) > 0 AND n + length(x[i + 1]) > lim AS fl, coalesce(list_filter(list_transform(range(1, len(cur) + 1), lambda j: cur[j:]), lambda l: list_sum(list_transform(l, lambda y: length(y))) <= 50)[1], []) AS kept FROM f WHERE i <= len(x)))
+      SELECT section_id, mode, no::INT AS no, chunk FROM f WHERE chunk IS NOT NULL""",
 }

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PASSAGE = "struct<passage_id:string,text:string,title:string,level:string,parent_id:string,metadata:map<string,string>>"
 DOCUMENT = f"act_info struct<act_name:string,act_number:string,act_year:int>, quality_score double, num_sections int, num_passages int, passages array<{PASSAGE}>"
@@ -33,6 +38,77 @@ def read_corpus(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
     return p.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) >= least)
 
 
+def corpus_statistics(passages: DataFrame) -> DataFrame:
+    """One row: acts, passages, characters and the mean length of a passage."""
+    return passages.agg(F.count_distinct("act_name").alias("n_acts"), F.count(F.lit(1)).alias("n_passages"), F.sum(F.length("text")).alias("n_chars"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
+
+
+def write_questions(items: DataFrame, path: str, version: str = "1.0") -> None:
+    """Items as JSON lines beside a row with version and number: one file per partition, so that a large set needs no single task."""
+    items.write.mode("overwrite").json(f"{path}/items")
+    items.agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("num_items")).coalesce(1).write.mode("overwrite").json(f"{path}/header")
+
+
+def read_written_questions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(StructType.fromDDL(f"i {QAC_ITEM}")["i"].dataType).json(f"{path}/items")
+
+
+def write_panel(ratings: DataFrame, path: str, raters: int = 5) -> None:
+    """A sheet as :func:`read_panel` reads it, without its rows of headings: one row per item, per rater three ratings and two empty cells."""
+    names = [f"rater_{r + 1}" for r in range(raters)]
+    wide = ratings.groupBy("item_id").agg(*[F.max(F.when((F.col("rater") == r) & (F.col("dimension") == dim), F.col("rating"))).alias(f"{r}_{dim}") for r in names for dim in ("correctness", "completeness", "clarity")])
+    none = lambda n: F.lit("").alias(n)
+    cells = [c for r in names for c in (*[F.col(f"{r}_{dim}") for dim in ("correctness", "completeness", "clarity")], none(f"{r}_comments"), none(f"{r}_date"))]
+    wide.select("item_id", *[none(f"c{i}") for i in range(1, 11)], *cells).write.mode("overwrite").option("emptyValue", "").csv(path)
+
+
+def append_audit(entries: DataFrame, path: str) -> None:
+    """Audit entries added to a log as JSON lines."""
+    known = [c.split()[0] for c in AUDIT.split(", ")]
+    entries.select([c for c in known if c in entries.columns]).write.mode("append").json(path)
+
+
+def write_vectors(vectors: DataFrame, path: str, model: str) -> None:
+    """Vectors in parquet with the model that made them."""
+    vectors.withColumn("model", F.lit(model)).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """The vectors of an index; one made by another model is an error."""
+    v = spark.read.parquet(path)
+    other = v.filter(~F.col("model").eqNullSafe(F.lit(model))).select("model").first()
+    if other is not None:
+        raise ValueError(f"the index was made with {other[0]!r}, not with {model!r}")
+    return v.drop("model")
+
+
+def write_search_index(postings: DataFrame, path: str, vectors: DataFrame | None = None, model: str = "") -> None:
+    write_index(postings, f"{path}/lexical")
+    if vectors is not None:
+        write_vectors(vectors, f"{path}/vectors", model)
+
+
+def read_search_index(spark: SparkSession, path: str, model: str = "") -> tuple[DataFrame, DataFrame | None]:
+    """Postings, and vectors if the index has any: without them every method is lexical (:func:`corpusloom.operators.records.dispatch`)."""
+    try:
+        vectors = read_vectors(spark, f"{path}/vectors", model)
+    except AnalysisException:
+        vectors = None
+    return read_index(spark, f"{path}/lexical"), vectors
+
+
+def list_files(spark: SparkSession, path: str, active: str | None = None) -> DataFrame:
+    """(file, megabytes, is_active) of a folder; contents are not read."""
+    f = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.round(F.col("length") / 1e6, 3).alias("megabytes"))
+    return f.withColumn("is_active", F.col("file") == F.lit(active) if active else F.lit(False))
+
+
+def read_documents(spark: SparkSession, path: str, extract: Callable[[Iterator[pd.Series]], Iterator[pd.Series]]) -> DataFrame:
+    """(path, text) of the files of a folder; ``extract`` turns batches of contents into texts and runs on the executors."""
+    text = F.pandas_udf(extract, "string")
+    return spark.read.format("binaryFile").load(path).select("path", text("content").alias("text"))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True, schema=f"version string, created string, num_items int, items array<{QAC_ITEM}>").select(F.explode("items").alias("i")).select("i.*")
 

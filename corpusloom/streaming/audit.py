@@ -13,6 +13,11 @@ def audit_stream(spark, path: str) -> DataFrame:
     return spark.readStream.schema(AUDIT).json(path).filter("entry_id IS NOT NULL").withColumn("ts", F.try_to_timestamp("timestamp"))
 
 
+def audit_sink(entries: DataFrame, path: str, checkpoint: str):
+    """Appends a stream of audit entries to a log of JSON lines, each entry once; both folders must be shared by all executors."""
+    return entries.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def rate_limited(requests: DataFrame, user: str = "user_id", ts: str = "ts", limit: int = 60, late: str = "5 minutes") -> DataFrame:
     """Requests per user and minute with those above ``limit``; works on streams (state older than ``late`` is dropped) and on tables."""
     src = requests.withWatermark(ts, late) if requests.isStreaming else requests

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import slices
-from corpusloom.llm.common import SLOTS, slot_map, split_join
+from corpusloom.llm.common import HOT, SLOTS, hot_slots, slot_map, split_join
 from corpusloom.session import materialize
 
 #: Words of context that are looked up.
@@ -256,14 +256,15 @@ def _counter(wanted):
     return run
 
 
-def cut_texts(texts: DataFrame) -> DataFrame:
+def cut_texts(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """Every text that does not end visibly, with ``cut``: whether it stops within a word or a sentence, and the ``rule`` that says so ('word':
     the trie, 'context', 'bracket', 'length'); texts: key string, source string, text string.
 
     ``key`` is unique per text. Null, empty and blank texts, and texts that end visibly, are no cases. Complete texts
     that merely lack a final stop, headings, lists and short answers are told from cut ones by the corpus' own
     evidence, so a text of which nothing similar exists counts as cut only if its last word is unfinished, a bracket
-    is left open, or its source's texts pile up at this length. An empty table gives an empty result.
+    is left open, or its source's texts pile up at this length. Contexts, last words and lengths that ``hot`` or more texts share are
+    dealt to several tasks. An empty table gives an empty result.
     """
     t = texts.filter("text <> ''").select("key", "source", F.length("text").alias("length"), "text")
     # only what cannot have ended visibly is looked at here; the exact test follows in Python
@@ -278,10 +279,10 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     wanted = texts.sparkSession.sparkContext.broadcast(words.tobytes())
     counts = t.select("text").mapInArrow(_counter(wanted), _COUNTS)
     counts = materialize(counts.groupBy("kind", "word", "context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on")))
-    return _decide(tails, counts)
+    return _decide(tails, counts, hot)
 
 
-def _decide(tails: DataFrame, counts: DataFrame) -> DataFrame:
+def _decide(tails: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
     words = counts.filter("kind = 0 AND n_end >= %d" % SUPPORT).select("word", "n_end")
     lasts = tails.filter("last IS NOT NULL").select("last").distinct()
     # the nodes of the trie: every proper prefix of every known word
@@ -291,17 +292,19 @@ def _decide(tails: DataFrame, counts: DataFrame) -> DataFrame:
     ends = tails.select("key", F.explode("contexts").alias("c")).select("key", "c.k", "c.context")
     seen = counts.filter("kind = 1").select("context", "n_end", "n_on").join(ends.select("context").distinct(), "context")
     n = F.col("n_end") + F.col("n_on")
-    best = split_join(ends, seen, ["context"], "key").groupBy("key").agg(F.max(F.when(n >= SUPPORT, F.struct(F.abs("k").alias("k"), "n_end", "n_on"))).alias("best"), F.max(F.when(F.col("k") < 0, F.col("n_on"))).alias("n_longer"))
+    alone = {c: (tails, [c]) for c in ("last", "same", "alike")}
+    slots = hot_slots({"context": (ends, ["context"]), "at": (tails, ["source", "length"]), **alone}, hot)
+    best = split_join(ends, seen, ["context"], "key", "context", slots).groupBy("key").agg(F.max(F.when(n >= SUPPORT, F.struct(F.abs("k").alias("k"), "n_end", "n_on"))).alias("best"), F.max(F.when(F.col("k") < 0, F.col("n_on"))).alias("n_longer"))
     c = tails.drop("contexts").join(best, "key", "left")
-    c = split_join(c, known, ["last"], "key")
+    c = split_join(c, known, ["last"], "key", "last", slots)
     # how many unfinished texts are the same as a whole, and the same but for case, marks and numbers
     for name in ("same", "alike"):
-        c = split_join(c, tails.groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}")), [name], "key")
+        c = split_join(c, tails.groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}")), [name], "key", name, slots)
     piled = tails.groupBy("source", "length").agg(F.count(F.lit(1)).alias("n_at"))
     # one row per source and length
     usual = piled.groupBy("source").agg((F.sum("n_at") / F.count(F.lit(1))).alias("n_usual"))
-    piled = split_join(piled, usual, ["source"], "length")
-    c = split_join(c, piled, ["source", "length"], "key")
+    piled = split_join(piled, usual, ["source"], "length", "", None)
+    c = split_join(c, piled, ["source", "length"], "key", "at", slots)
     spike = (F.col("n_at") >= 5) & (F.col("n_at") > 4 * F.col("n_usual"))
     closes = F.col("best.n_end") / (F.col("best.n_end") + F.col("best.n_on"))
     longer = F.coalesce("n_longer", F.lit(0))

@@ -32,3 +32,9 @@ def test_cut_and_complete_texts(spark):
 def test_empty_table(spark):
     d = spark.createDataFrame([], "key string, source string, text string, cut boolean, last string")
     assert cut_texts(d).count() == 0
+
+
+def test_hot_values_give_the_same(spark):
+    rows, cut = corpus()
+    d = spark.createDataFrame(rows, "key string, source string, text string")
+    assert {r.key for r in cut_texts(d, hot=2).filter("cut").collect()} == cut

@@ -33,8 +33,8 @@ def language_scores(text: str) -> dict[str, float]:
     for name, script in () if text.isascii() else _SCRIPTS:
         if n := len(script.findall(text)):
             out[name] = n / 3
-    for w in _LATIN.findall(text.lower()):
-        if owners := _OF_WORD.get(w.replace("’", "'")):
+    for w in _LATIN.findall(text.lower().replace("’", "'")):
+        if owners := _OF_WORD.get(w):
             for o in owners:
                 out[o] = out.get(o, 0) + 1 / len(owners)
     return out

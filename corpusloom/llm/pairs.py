@@ -11,6 +11,8 @@ defective pairs.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -101,12 +103,14 @@ _YES_NO = {"yes", "no", "yeah", "correct", "oui", "non", "ja", "nein", "sí", "s
 _GOES_ON = set("based from with because as since for in on without due under to about at and or which question questions request requests here so regarding concerning using given until unless if by within outside beyond either query yet but however".split())
 #: Words that lead from a reservation to an answer.
 _CONTRAST = re.compile(r"\b(?:but|however|nevertheless|nonetheless|that said|still,|mais|cependant|aber|jedoch|pero|sin embargo)\b", re.I)
-_CLAUSE = re.compile(r"[.!?;:,\n।]")
+_VISIBLE = re.compile(r"\w")
 _SENTENCE = re.compile(r"[.!?\n।]")
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return [y for x in _TOKEN.findall(unicodedata.normalize("NFC", text or "").casefold().replace("’", "'")) for y in _CONTRACTED.get(x, x).split()]
+    folded = unicodedata.normalize("NFC", text or "").casefold().replace("’", "'")
+    tokens = _TOKEN.findall(folded)
+    return [y for x in tokens for y in _CONTRACTED.get(x, x).split()] if "'" in folded else tokens
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -129,6 +133,8 @@ def is_empty(answer: str | None, question: str | None = None) -> bool:
     """Nothing visible, a stand-in for nothing, or an error message; a stand-in that the question asks about is an answer."""
     if answer is None:
         return True
+    if len(list(itertools.islice(_VISIBLE.finditer(answer), 30))) == 30:
+        return _FAILURE.search(answer) is not None  # no stand-in has so many letters
     seen = "".join(c for c in answer if unicodedata.category(c)[0] not in "CZ" or c == " ").strip().lower()
     core = re.sub(r"^[^\w]+|[^\w]+$", "", seen)
     if not core or _NOTHING.fullmatch(core) or _FAILURE.search(answer):
@@ -142,8 +148,8 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
         return False
     if len(question) < 3 or len(answer) < 3:
         return question == answer and len(answer) > 0
-    asked = set(_shingles(question, 3))
-    mine = _shingles(answer, 3)
+    asked = set(zip(question, question[1:], question[2:]))
+    mine = list(zip(answer, answer[1:], answer[2:]))
     inside = sum(s in asked for s in mine) / len(mine)
     if inside < 0.4:
         return False
@@ -169,6 +175,8 @@ class Templates:
         """A sentence of the text, with at most ``before`` tokens ahead of it, contains a template by most of its shingles, in order, as
         the clause that governs: a short template is followed by the clause's end or by a word that cannot complete it otherwise,
         and nothing behind it goes on to answer."""
+        if not self._near(tokens_of(text)):
+            return False
         ahead, start = 0, 0
         for stop in [*(m.end() for m in _SENTENCE.finditer(text)), len(text)]:
             part, start_of = text[start:stop], start
@@ -193,6 +201,13 @@ class Templates:
                 break
         return False
 
+    def _near(self, tokens: list[str]) -> bool:
+        """Whether any template has the shingles it needs in the whole text: without them no sentence can contain it."""
+        hits: dict[int, int] = {}
+        for i in itertools.chain.from_iterable(map(self.pairs.__getitem__, self.pairs.keys() & set(zip(tokens, tokens[1:])))):
+            hits[i] = hits.get(i, 0) + 1
+        return any(n >= (1.0 if len(self.tokens[i]) <= 5 else 0.7) * (len(self.tokens[i]) - 1) for i, n in hits.items())
+
     @staticmethod
     def _governs(t: list[str], text: str, tokens: list[str]) -> bool:
         if len(t) > 8:
@@ -220,17 +235,21 @@ def _answers(rest: str, template: list[str]) -> bool:
 _REFUSALS = Templates(REFUSALS)
 
 
+_asked_tokens = functools.lru_cache(20_000)(lambda question: tokens_of(question))
+_asked_language = functools.lru_cache(20_000)(language_of)
+
+
 def defect_of(question: str | None, answer: str | None) -> str | None:
     """'empty', 'copy', 'refusal', 'other_language' or None; cut answers are found apart."""
     if is_empty(answer, question):
         return "empty"
     a = tokens_of(answer)
-    if question and is_copy(tokens_of(question), a):
+    if question and is_copy(_asked_tokens(question), a):
         return "copy"
     if _REFUSALS.matches(unicodedata.normalize("NFC", answer)):
         return "refusal"
     if question:
-        asked, told = language_of(question), language_of(answer)
+        asked, told = _asked_language(question), language_of(answer)
         if asked and (told and asked != told or told is None and is_foreign(answer, asked)):
             return "other_language"
     return None

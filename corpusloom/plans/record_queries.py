@@ -13,7 +13,7 @@ from corpusloom.operators import records as R
 from corpusloom.operators.answers import evidence_prompt, reasoning_steps
 from corpusloom.operators.spans import citations, claims
 from corpusloom.plans.analysis_queries import _FAIL, SQL as ANALYSIS_SQL
-from corpusloom.plans.analysis_queries import _failures, wilcoxon_ratings
+from corpusloom.plans.analysis_queries import _failures, failure_crosstab, wilcoxon_ratings
 from corpusloom.plans.evidence_queries import _APP, _CON, _HB, _WS, _answers, _applicable, _hits, DISCLAIMERS, faithfulness_of, validity_of
 from corpusloom.plans.evidence_queries import _ACT, _SAYS, rule_conflicts, sufficiency
 from corpusloom.plans.evidence_queries import SQL as EVIDENCE_SQL
@@ -106,6 +106,10 @@ def run_failure_modes(spark: SparkSession, d: str) -> DataFrame:
     return _failures(spark, d).select("run_id", "query_id", F.array_join("modes", "|").alias("modes"), "severity")
 
 
+def run_failure_crosstab(spark: SparkSession, d: str) -> DataFrame:
+    return failure_crosstab(spark, d)
+
+
 def scope_gate(spark: SparkSession, d: str) -> DataFrame:
     """Whether each question is in scope, with a synthetic logit and a synthetic judgement that is missing for every third number."""
     h = _lexical(spark, d).groupBy("query_id").agg(F.max(((F.col("corpus_pos") * 37) % 200) / 20.0 - 6.0).alias("best"))
@@ -251,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         act_references, scrubbed_text, extracted_text, article_topics, query_traits, filtered_items, flagged_entries, section_lookup, retrieval_summary, item_scores, severe_failures, failure_examples,
-        run_faithfulness, run_citation_validity, run_failure_modes, scope_gate, reasoning_chains, entailed_claims, document_claims, simple_confidence, explainability, key_concepts, citation_ratio,
+        run_faithfulness, run_citation_validity, run_failure_modes, run_failure_crosstab, scope_gate, reasoning_chains, entailed_claims, document_claims, simple_confidence, explainability, key_concepts, citation_ratio,
         rating_significance, gold_realigned, label_counts, unique_labels, registered_sections, annotation_template, proofread_corpus, repointed_items, structured_answers, unused_passages, mention_list, prompt_hash, dispatched_methods,
     )
 }
@@ -316,6 +320,7 @@ SQL = {
       cv AS (SELECT c.run_id, c.query_id, c.no, c.act_name, c.section, coalesce(bool_or({_ACT}), false) AS v, coalesce(bool_or({_ACT} AND {_SAYS}), false) AS st FROM ci c LEFT JOIN hp h USING (query_id) GROUP BY 1, 2, 3, 4, 5)
       SELECT run_id, query_id, count(*) AS n_citations, count(*) FILTER (v) AS n_valid, count(*) FILTER (st) AS n_strict FROM cv GROUP BY 1, 2""",
     "run_failure_modes": _RFAIL + f"SELECT run_id, query_id, array_to_string(modes, '|') AS modes, {_SEV} AS severity FROM fm",
+    "run_failure_crosstab": _RFAIL + "SELECT c.query_type, mode, n, round(n / n_items, 4) AS rate FROM (SELECT query_type, mode, count(*) AS n FROM (SELECT query_type, unnest(modes) AS mode FROM fm) GROUP BY 1, 2) c JOIN (SELECT query_type, count(*) AS n_items FROM fm GROUP BY 1) i ON c.query_type IS NOT DISTINCT FROM i.query_type",
     "scope_gate": _BASE + "SELECT query_id, best >= 3.0 OR CASE WHEN n % 3 = 0 THEN true ELSE n % 3 = 1 END AS in_scope FROM (SELECT query_id, max(length(query_id) + length(query)) AS n, max(((corpus_pos * 37) % 200) / 20.0 - 6.0) AS best FROM hits JOIN q USING (query_id) GROUP BY 1)",
     "reasoning_chains": _HB + _APP + f""", fr AS (SELECT query_id, concat_ws(', ', coalesce(act_name, 'Unknown'), coalesce(metadata.section_number, 'Unknown')) AS source, condition, consequence,
         list_filter([{', '.join(f'''CASE WHEN contains(lower(text), '{w}') THEN trim(string_split(substring(text, strpos(lower(text), '{w}')::INT, 150), '.')[1], ' ') END''' for w in E.EXCEPTIONS)}], lambda x: x IS NOT NULL) AS ex FROM ap WHERE place = 1),

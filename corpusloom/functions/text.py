@@ -233,3 +233,20 @@ def act_passes(wanted: Column, act: Column) -> Column:
     """Whether a passage of ``act`` passes the filter ``wanted``; null passes all."""
     a = F.lower(F.coalesce(act, F.lit("")))
     return wanted.isNull() | F.when(wanted == "", (a == "") | a.contains("constitution")).otherwise(a.contains(F.lower(wanted)))
+
+
+# Abbreviations that a parsed question is freed of, as substrings and in this order, and beginnings that tell its kind.
+PARSED_ABBREVIATIONS = [(" pc ", " penal code "), (" cpc ", " civil procedure code "), (" eo ", " evidence ordinance "), ("s.", "section "), ("sec.", "section "), ("art.", "article ")]
+QUESTION_STARTS = [("factual", ["what is", "what are", "what does"]), ("procedural", ["how to", "how do i", "how can"]), ("interpretive", ["why", "when", "where"]), ("advisory", ["can i", "could i", "may i", "should i", "would"]), ("factual", ["is", "are", "was", "were"])]
+
+
+def parsed_query(c: Column) -> Column:
+    """Lower case, flat white space, abbreviations replaced wherever their letters stand."""
+    return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), PARSED_ABBREVIATIONS, normalize_whitespace(F.lower(c)))
+
+
+def question_kind(c: Column) -> Column:
+    low, out = F.lower(c), F.lit("general")
+    for name, starts in reversed(QUESTION_STARTS):
+        out = F.when(reduce(lambda a, b: a | b, [low.startswith(x) for x in starts]), name).otherwise(out)
+    return out

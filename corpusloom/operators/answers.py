@@ -87,3 +87,49 @@ def confidence_level(c: Column) -> Column:
 def penalized(rate: Column, n: Column, each: float, most: float) -> Column:
     """A rate less ``each`` per fault, ``most`` in all, at least 0."""
     return F.greatest(rate - F.least(n * each, F.lit(most)), F.lit(0.0))
+
+
+# Citations with a number and its kind, and citations of a text as a whole.
+NUMBERED = "\\[([^,\\]]+),\\s*(Article|Section|Chapter)?\\s*([0-9]+[A-Z]?(?:\\([0-9]+\\))?(?:\\([a-z]\\))?)\\]"
+UNNUMBERED = "\\[([^,\\]]+),\\s*(Text|General)\\]"
+PLAIN_SECTION = "\\[([^,]+),\\s*Section\\s+(\\d+[A-Z]?)\\]"
+
+
+def _cited(answers: DataFrame, pattern: str, groups: dict[str, int], flags: str = "(?i)") -> DataFrame:
+    parts = F.arrays_zip(*[F.transform(F.regexp_extract_all("answer", F.lit(flags + pattern), F.lit(g)), strip).alias(n) for n, g in groups.items()])
+    keys = [c for c in answers.columns if c != "answer"]
+    return answers.select(*keys, F.posexplode(parts).alias("no", "c")).select(*keys, "no", "c.*")
+
+
+def typed_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """(key columns, no, act_name, section, label, passage_id): the bracketed citations of each answer with the passage they rest on.
+
+    answers: query_id, answer and further keys; hits: query_id, rank, passage_id, act_name, text, metadata. A numbered citation rests on
+    the first hit of its act that has the number or mentions it, else on the first of its act, and stays without a passage if there is
+    none; 'Text' and 'General' rest on the first hit of the act or are left out. A hit without an act fits every act.
+    """
+    numbered = _cited(answers, NUMBERED, {"act_name": 1, "kind": 2, "section": 3})
+    whole = _cited(answers, UNNUMBERED, {"act_name": 1, "section": 2}).withColumn("kind", F.lit(""))
+    keys = [c for c in answers.columns if c != "answer"]
+    every = numbered.select(*keys, "no", "act_name", "section", "kind", F.lit(True).alias("numbered")).unionByName(whole.select(*keys, "no", "act_name", "section", "kind", F.lit(False).alias("numbered")))
+    label = F.when(F.col("kind") != "", F.col("kind")).when(F.lower("act_name").contains("constitution"), "Article").otherwise("Section")
+    every = every.withColumn("label", label).drop("kind")
+    h = hits.select("query_id", "rank", "passage_id", F.lower(F.coalesce("act_name", F.lit(""))).alias("act"), F.lower(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("metadata.article_number", F.lit("")).alias("art"), F.coalesce("metadata.section_number", F.lit("")).alias("sec"))
+    c, s = F.lower("act_name"), F.col("section")
+    of_act = (F.col("act") == "") | F.col("act").contains(c)
+    same = of_act | c.contains(F.col("act"))
+    says = (F.col("art") == s) | (F.col("sec") == s)
+    for form in ("article ", "section ", "chapter "):
+        says = says | F.col("t").contains(F.concat(F.lit(form), s))
+    j = every.join(h, "query_id", "left")
+    first = lambda x: F.min(F.when(x, F.struct("rank", "passage_id")))["passage_id"]
+    fit = F.coalesce(first(F.col("numbered") & same & says), first(F.when(F.col("numbered"), of_act).otherwise(same)))
+    return j.groupBy(*every.columns).agg(fit.alias("passage_id")).filter(F.col("numbered") | F.col("passage_id").isNotNull())
+
+
+def plain_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """(key columns, no, act_name, section, passage_id): citations of the one form '[Act, Section n]', with the first hit of exactly that act and section."""
+    c = _cited(answers, PLAIN_SECTION, {"act_name": 1, "section": 2}, "")
+    h = hits.select("query_id", "rank", "passage_id", F.lower("act_name").alias("act"), F.col("metadata.section_number").alias("sec"))
+    j = c.join(h, (c.query_id == h.query_id) & (F.lower(c.act_name) == h.act) & (c.section == h.sec), "left").drop(h.query_id)
+    return j.groupBy(*c.columns).agg(F.min_by("passage_id", "rank").alias("passage_id"))

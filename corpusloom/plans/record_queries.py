@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import act_reference, base_id, citation_label
+from corpusloom.functions.text import PARSED_ABBREVIATIONS, QUESTION_STARTS, act_reference, base_id, citation_label, parsed_query, question_kind
+from corpusloom.operators import answers as A
 from corpusloom.operators import evidence as E
 from corpusloom.operators import measures as M
 from corpusloom.operators import mentions as N
@@ -244,6 +245,18 @@ def prompt_hash(spark: SparkSession, d: str) -> DataFrame:
     return p.select("query_id", F.md5("prompt").alias("prompt_hash"))
 
 
+def parsed_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _q(spark, d).select("query_id", parsed_query(F.col("query")).alias("parsed"), question_kind(F.col("query")).alias("kind"))
+
+
+def typed_citations(spark: SparkSession, d: str) -> DataFrame:
+    return A.typed_citations(_answers(spark, d), _hits(spark, d)).select("run_id", "query_id", "no", "act_name", "section", "label", "passage_id")
+
+
+def plain_citations(spark: SparkSession, d: str) -> DataFrame:
+    return A.plain_citations(_answers(spark, d), _hits(spark, d)).select("run_id", "query_id", "no", "act_name", "section", "passage_id")
+
+
 def dispatched_methods(spark: SparkSession, d: str) -> DataFrame:
     """The method that answers each request of the audit log while there are vectors and while there are none; unknown methods are left out."""
     m = table(spark, d, "audit_log").select("retrieval_method").distinct().filter(F.col("retrieval_method").isin(list(R.METHODS)))
@@ -256,7 +269,7 @@ QUERIES = {
     for f in (
         act_references, scrubbed_text, extracted_text, article_topics, query_traits, filtered_items, flagged_entries, section_lookup, retrieval_summary, item_scores, severe_failures, failure_examples,
         run_faithfulness, run_citation_validity, run_failure_modes, run_failure_crosstab, scope_gate, reasoning_chains, entailed_claims, document_claims, simple_confidence, explainability, key_concepts, citation_ratio,
-        rating_significance, gold_realigned, label_counts, unique_labels, registered_sections, annotation_template, proofread_corpus, repointed_items, structured_answers, unused_passages, mention_list, prompt_hash, dispatched_methods,
+        rating_significance, gold_realigned, label_counts, unique_labels, registered_sections, annotation_template, proofread_corpus, repointed_items, structured_answers, unused_passages, mention_list, prompt_hash, parsed_queries, typed_citations, plain_citations, dispatched_methods,
     )
 }
 
@@ -300,7 +313,26 @@ _TOPIC = "CASE n " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.ARTICLE_TOP
 _P3E = """p1 AS (SELECT *, row_number() OVER w AS pl, first_value(passage_id) OVER w AS pid FROM cf WINDOW w AS (PARTITION BY query_id ORDER BY coalesce(normalized_score, score) DESC, rank)),
   p2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(normalized_score, score) DESC, rank)::INT AS place FROM p1 WHERE pl = 1 OR passage_id <> pid)"""
 _VALID = "regexp_full_match(trim({c}), '[0-9]+[A-Z]?(\\([0-9]+\\))?(\\([a-z]\\))?')"
+_PARSED = f"regexp_replace(regexp_replace(lower(query), '{_WS}+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+for _a, _b in PARSED_ABBREVIATIONS:
+    _PARSED = f"replace({_PARSED}, '{_a}', '{_b}')"
+_KIND = "CASE " + " ".join(f"WHEN {' OR '.join(f'starts_with(lower(query), {x!r})' for x in xs)} THEN '{k}'" for k, xs in QUESTION_STARTS) + " ELSE 'general' END"
+
+
+def _all(pattern: str, names: dict[str, int], flags: str = "i") -> str:
+    got = {n: f"regexp_extract_all(answer, '{pattern}', {g}, '{flags}')" for n, g in names.items()}
+    return f"SELECT run_id, query_id, unnest(range(len({next(iter(got.values()))})))::INT AS no, " + ", ".join(f"unnest(list_transform({x}, lambda y: {_TRIM.format(c='y')})) AS {n}" for n, x in got.items()) + " FROM ans"
+
+
 SQL = {
+    "parsed_queries": _BASE + f"SELECT query_id, {_PARSED} AS parsed, {_KIND} AS kind FROM q",
+    "typed_citations": _HB + _RUNS + f""", nu AS ({_all(A.NUMBERED, {'act_name': 1, 'kind': 2, 'section': 3})}), un AS ({_all(A.UNNUMBERED, {'act_name': 1, 'section': 2})}),
+      ev AS (SELECT run_id, query_id, no, act_name, section, kind, true AS numbered FROM nu UNION ALL SELECT run_id, query_id, no, act_name, section, '', false FROM un),
+      ho AS (SELECT query_id, rank, passage_id, lower(coalesce(act_name, '')) AS act, lower(coalesce(text, '')) AS t, coalesce(metadata.article_number, '') AS art, coalesce(metadata.section_number, '') AS sec FROM hp),
+      jo AS (SELECT ev.*, rank, passage_id, act = '' OR contains(act, lower(act_name)) AS ofact, contains(lower(act_name), act) AS within, art = section OR sec = section OR contains(t, 'article ' || section) OR contains(t, 'section ' || section) OR contains(t, 'chapter ' || section) AS says FROM ev LEFT JOIN ho USING (query_id)),
+      fi AS (SELECT run_id, query_id, no, act_name, section, kind, numbered, coalesce(arg_min(passage_id, rank) FILTER (numbered AND (ofact OR within) AND says), arg_min(passage_id, rank) FILTER (ofact OR (NOT numbered AND within))) AS passage_id FROM jo GROUP BY 1, 2, 3, 4, 5, 6, 7)
+      SELECT run_id, query_id, no, act_name, section, CASE WHEN kind <> '' THEN kind WHEN contains(lower(act_name), 'constitution') THEN 'Article' ELSE 'Section' END AS label, passage_id FROM fi WHERE numbered OR passage_id IS NOT NULL""",
+    "plain_citations": _HB + _RUNS + f""", ci AS ({_all(A.PLAIN_SECTION, {'act_name': 1, 'section': 2}, 'c')}) SELECT c.run_id, c.query_id, c.no, c.act_name, c.section, arg_min(h.passage_id, h.rank) AS passage_id FROM ci c LEFT JOIN hp h ON c.query_id = h.query_id AND lower(c.act_name) = lower(h.act_name) AND c.section = h.metadata.section_number GROUP BY 1, 2, 3, 4, 5""",
     "act_references": """SELECT act_key, CASE WHEN ok THEN trim(regexp_extract(t, '([^(]+)\\s*\\(Act\\s+No\\.\\s*(\\d+)\\s+of\\s+(\\d{4})\\)', 1)) END AS name, CASE WHEN ok THEN regexp_extract(t, '([^(]+)\\s*\\(Act\\s+No\\.\\s*(\\d+)\\s+of\\s+(\\d{4})\\)', 2) END AS number, CASE WHEN ok THEN regexp_extract(t, '([^(]+)\\s*\\(Act\\s+No\\.\\s*(\\d+)\\s+of\\s+(\\d{4})\\)', 3) END AS year,
       act_name || ', Section 1' || CASE WHEN coalesce(act_year, 0) <> 0 THEN ' (' || act_year || ')' ELSE '' END AS label FROM (SELECT *, regexp_matches(t, '([^(]+)\\s*\\(Act\\s+No\\.\\s*(\\d+)\\s+of\\s+(\\d{4})\\)') AS ok FROM (SELECT *, CASE WHEN act_name IS NULL OR act_number IS NULL OR act_year IS NULL THEN NULL ELSE act_name || ' (Act No. ' || act_number || ' of ' || act_year || ')' END AS t FROM acts))""",
     "scrubbed_text": f"SELECT DISTINCT article_id, md5(full_text) AS text_hash, md5({_SCRUB}) AS scrubbed_hash FROM constitution_articles",
@@ -372,5 +404,6 @@ _PROMPT = SQL["prompt_hash"]
 _AT = _PROMPT.index("md5(string_agg(")
 #: SQL of queries of other modules that is made from the statements above.
 SQL |= {
+    "mentions": _MENTIONS[: _MENTIONS.rindex("SELECT section_id, kind, target, count(*) AS n")] + "SELECT section_id, kind, count(*) AS n" + _MENTIONS[_MENTIONS.rindex("SELECT section_id, kind, target, count(*) AS n") + len("SELECT section_id, kind, target, count(*) AS n") :].replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2"),
     "evidence_prompt": _PROMPT[:_AT] + "length(p)::INT AS n_chars, len(string_split(p, 'Act: '))::INT AS n_parts FROM (SELECT query_id, " + _PROMPT[_AT + 4 :].replace(") AS prompt_hash", " AS p") + ")",
 }

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialize
+
 #: Integers per bucket of the key axis, and seconds per bucket of the time axis.
 KEY_BUCKET = 4096
 TIME_BUCKET_S = 3600
@@ -88,10 +90,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref_id: str, made_at:
     p = parents.select(canonical_id(F.col(parent_id)).alias("__id"), F.unix_micros(F.col(born_at).cast("timestamp")).alias("born"), F.coalesce(F.unix_micros(F.col(dead_at).cast("timestamp")), F.lit(_OPEN)).alias("dead")).filter("__id IS NOT NULL")
     base = F.regexp_replace(own, "_CHUNK_[0-9]+$", "")
     p = p.select(F.explode(F.array_distinct(F.array(own, base))).alias("key"), "born", "dead").filter("key <> ''")
+    p = materialize(p)  # both are read several times below
     stem, n = key_parts(F.col("key"))
     r = refs.distinct().withColumn("__id", canonical_id(F.col(ref_id))).filter("__id IS NOT NULL").withColumn("__t", F.unix_micros(F.col(made_at).cast("timestamp")))
     rs, rn = key_parts(own)
-    r = r.withColumn("__stem", rs).withColumn("__n", rn)
+    r = materialize(r.withColumn("__stem", rs).withColumn("__n", rn))
     asked = r.select(F.col("__stem").alias("stem"), F.col("__n").alias("n"), own.alias("key"), F.col("__t").alias("t"))
     known = missing_keys(asked, p.select(stem.alias("stem"), n.alias("n"))).filter("present").select(F.col("stem").alias("__stem"), F.col("n").alias("__n"), F.lit(True).alias("__known"))
     lives = lifetime_states(asked, p).select(F.col("key").alias("__id"), F.col("t").alias("__t"), F.col("reach").alias("__reach"), F.lit(True).alias("__timed"))

@@ -112,3 +112,27 @@ def test_command_line(spark, tmp_path):
     assert files.read_index(spark, f"{tmp_path}/i", ["tribunal"]).count() == 1
     main(["search", f"{tmp_path}/c", f"{tmp_path}/q", f"{tmp_path}/o", "--top-k", "1"], spark)
     assert spark.read.json(f"{tmp_path}/o").count() == 1
+
+
+def test_typed_and_plain_citations(spark):
+    from corpusloom.operators.answers import plain_citations, typed_citations
+
+    h = spark.createDataFrame(
+        [("q", 1, "p1", "Harbour Act", "nothing here", ("5", None)), ("q", 2, "p2", "Harbour Act", "as section 7 says", (None, None)), ("q", 3, "p3", None, None, (None, "9"))],
+        "query_id string, rank int, passage_id string, act_name string, text string, metadata struct<section_number string, article_number string>",
+    )
+    a = spark.createDataFrame(
+        [("q", "See [Harbour Act, Section 7] and [Harbour Act, 5] and [Harbour Act, Section 8] and [Constitution, 9]. Also [Harbour Act, General]."), ("q", None), ("q", ""), ("other", "[Harbour Act, Section 5]")], "query_id string, answer string"
+    )
+    got = {(r.query_id, r.section, r.label, r.passage_id) for r in typed_citations(a, h).collect()}
+    assert got == {("q", "7", "Section", "p2"), ("q", "5", "Section", "p1"), ("q", "8", "Section", "p1"), ("q", "9", "Article", "p3"), ("q", "General", "Section", "p1"), ("other", "5", "Section", None)}
+    plain = {(r.query_id, r.section, r.passage_id) for r in plain_citations(spark.createDataFrame([("q", "[Harbour Act, Section 5] [harbour act, Section 7]")], "query_id string, answer string"), h).collect()}
+    assert plain == {("q", "5", "p1"), ("q", "7", None)}
+    assert typed_citations(a.limit(0), h).count() == 0 and plain_citations(a, h.limit(0)).count() == 3
+
+
+def test_parsed_questions(spark):
+    from corpusloom.functions.text import parsed_query, question_kind
+
+    d = spark.createDataFrame([("What is  the pc  rule on acts.?",), ("Can I appeal?",), ("",), (None,)], "q string").select("q", parsed_query(F.col("q")).alias("p"), question_kind(F.col("q")).alias("k"))
+    assert [(r.p, r.k) for r in d.collect()] == [("what is the penal code rule on actsection ?", "factual"), ("can i appeal?", "advisory"), ("", "general"), (None, "general")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,32 +16,37 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators.spans import DISCLAIMERS, citation_density, citation_format, citations, claims
 from corpusloom.plans.evidence_queries import SQL as EVIDENCE_SQL
 from corpusloom.plans.evidence_queries import _answers, _hits, faithfulness_of, validity_of
-from corpusloom.plans.retrieval_queries import _BASE, _EXACT, _FUSE, _dense, _fused, _gold, _lexical, _passages, _queries, _signs
+from corpusloom.plans.retrieval_queries import _BASE, _EXACT, _FUSE, _dense, _fused, _gold, _lexical, _passages, _queries, _signs, reranked
 from corpusloom.plans.text_queries import _CITE, _WS
 from corpusloom.session import materialize
 from corpusloom.sources.tables import table
 
 
-def _methods(spark: SparkSession, d: str) -> DataFrame:
-    """(method, query_id, key, rank): the four methods' hits at article level."""
-    p = _passages(spark, d)
-    # both are used several times, so they are computed once
-    pool = materialize(_lexical(spark, d, 100))
-    lexical = pool.filter("rank <= 20").join(p.select("corpus_pos", "passage_id"), "corpus_pos").select(F.lit("bm25").alias("method"), "query_id", "passage_id", "rank")
-    dense = _dense(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos"))).select(F.lit("dense").alias("method"), "query_id", "passage_id", "rank")
-    f = materialize(_fused(spark, d, pool))
-    fused = f.select(F.lit("hybrid").alias("method"), "query_id", "passage_id", "rank")
-    logit = ((F.col("corpus_pos") * 37 + F.length("query_id") * 11) % 200) / 20.0 - 5.0
-    r = R.rerank_blend(f.join(_queries(spark, d), "query_id").join(p.select("corpus_pos", "text"), "corpus_pos").withColumn("rerank_score", R.intent_adjusted(logit, F.col("query"), F.col("text"))))
-    ranked = r.select(F.lit("hybrid_rerank").alias("method"), "query_id", "passage_id", F.col("final_rank").alias("rank"))
-    every = lexical.unionByName(dense).unionByName(fused).unionByName(ranked).withColumn("key", article_id(F.col("passage_id")))
+_COMPARED = ("bm25", "dense", "hybrid", "hybrid_rerank")
+
+
+def _methods(spark: SparkSession, d: str, wanted: tuple[str, ...] = _COMPARED) -> DataFrame:
+    """(method, query_id, key, rank): the hits of the wanted methods at article level; what no wanted method needs is not computed."""
+    p = _passages(spark, d).select("corpus_pos", "passage_id")
+    several = len(set(wanted) & {"hybrid", "hybrid_rerank"}) > 1
+    # what is used several times is computed once
+    pool = materialize(_lexical(spark, d, 100)) if len(set(wanted) - {"dense"}) > 1 else _lexical(spark, d, 100)
+    fused = _fused(spark, d, pool)
+    f = materialize(fused) if several else fused
+    hits = {
+        "bm25": lambda: pool.filter("rank <= 20").join(p, "corpus_pos"),
+        "dense": lambda: _dense(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "corpus_pos"))),
+        "hybrid": lambda: f,
+        "hybrid_rerank": lambda: reranked(spark, d, f).withColumn("rank", F.col("final_rank")),
+    }
+    every = reduce(DataFrame.unionByName, [hits[m]().select(F.lit(m).alias("method"), "query_id", "passage_id", "rank") for m in wanted]).withColumn("key", article_id(F.col("passage_id")))
     first = every.groupBy("method", "query_id", "key").agg(F.min("rank").alias("rank"))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("method", "query_id").orderBy("rank")))
 
 
-def _method_scores(spark: SparkSession, d: str) -> DataFrame:
-    h = _methods(spark, d).withColumn("query_id", F.concat_ws("|", "method", "query_id")).drop("method")
-    g = _gold(spark, d).join(_queries(spark, d).select("query_id"), "query_id").withColumn("m", F.explode(F.array(*[F.lit(m) for m in ("bm25", "dense", "hybrid", "hybrid_rerank")]))).select(F.concat_ws("|", "m", "query_id").alias("query_id"), "key")
+def _method_scores(spark: SparkSession, d: str, wanted: tuple[str, ...] = _COMPARED) -> DataFrame:
+    h = _methods(spark, d, wanted).withColumn("query_id", F.concat_ws("|", "method", "query_id")).drop("method")
+    g = _gold(spark, d).join(_queries(spark, d).select("query_id"), "query_id").withColumn("m", F.explode(F.array(*[F.lit(m) for m in wanted]))).select(F.concat_ws("|", "m", "query_id").alias("query_id"), "key")
     return M.retrieval_scores(h, g, (10,)).withColumn("method", F.substring_index("query_id", "|", 1))
 
 
@@ -49,7 +56,7 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 def method_significance(spark: SparkSession, d: str) -> DataFrame:
     """Signed-rank sums of the reciprocal ranks of the lexical and the fused search, paired by item."""
-    s = _method_scores(spark, d).filter("method IN ('bm25', 'hybrid')").select(F.substring_index("query_id", "|", -1).alias("item"), "method", F.round("mrr", 6).alias("mrr"))
+    s = _method_scores(spark, d, ("bm25", "hybrid")).select(F.substring_index("query_id", "|", -1).alias("item"), "method", F.round("mrr", 6).alias("mrr"))
     p = s.groupBy("item").agg(F.max(F.when(F.col("method") == "bm25", F.col("mrr"))).alias("a"), F.max(F.when(F.col("method") == "hybrid", F.col("mrr"))).alias("b")).withColumn("pair", F.lit("bm25-hybrid"))
     return M.wilcoxon(p, "a", "b", ["pair"])
 
